@@ -12,6 +12,7 @@ of another script inside a Latin word are Latin. Nulls stay null, empty text sta
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -44,12 +45,16 @@ def kept(c: str) -> bool:
 
 
 def unstable(c: str) -> bool:
-    """The quick check of one character: not surely in the form wherever it stands."""
+    """The quick check of one character: not surely in the form wherever it stands. Marks that never compose are sure unless two meet."""
     if invisible(c) or odd_space(c) or c in LOOKALIKE:
         return True
     if kept(c):
         return False
-    return not unicodedata.is_normalized("NFKC", c) or not unicodedata.is_normalized("NFC", "a" + c) or unicodedata.combining(c) > 0 or _composes(c)
+    return not unicodedata.is_normalized("NFKC", c) or _composes(c)
+
+
+def mark(c: str) -> bool:
+    return unicodedata.combining(c) > 0
 
 
 @functools.cache
@@ -68,26 +73,25 @@ def _composes(c: str) -> bool:
 
 
 def _class(test) -> str:
-    """A regular expression's character class of the characters that pass the test."""
+    """A character class of the characters that pass the test, and of all beyond the basic plane (rare, so not told apart)."""
     runs: list[list[int]] = []
-    for n in range(0x00, 0x30000):
-        if 0xD800 <= n <= 0xDFFF or 0x3400 <= n <= 0x9FFF or 0xAC00 <= n <= 0xD7A3 or 0x20000 <= n < 0x2F800:
+    for n in range(0x10000):
+        if 0xD800 <= n <= 0xDFFF or 0x3400 <= n <= 0x9FFF or 0xAC00 <= n <= 0xD7A3:
             continue  # surrogates; ideographs and syllables are stable
         if test(chr(n)):
             if runs and runs[-1][1] == n - 1:
                 runs[-1][1] = n
             else:
                 runs.append([n, n])
-    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "\U000e0001-\U000e01ef]"
+    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs) + "\\U00010000-\\U0010ffff]"
 
 
 @functools.cache
-def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern, re.Pattern]:
-    bad = _class(unstable)
-    segment = re.compile(rf"[^\W_]*{bad}(?:[^\W_]|{bad})*")
-    gone = re.compile(_class(invisible))
-    space = re.compile(_class(odd_space))
-    return segment, gone, space, re.compile(f"({_class(kept)}+)")
+def _patterns() -> tuple[re.Pattern, re.Pattern]:
+    bad, marks = _class(unstable), _class(mark)
+    found = re.compile(f"{bad}|{marks}{{2,}}")
+    rest = re.compile(f"(?:[^\\W_]|{bad}|{marks})*")
+    return found, rest
 
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -107,17 +111,29 @@ def _latin_word(m: re.Match) -> str:
 
 @functools.lru_cache(1 << 16)
 def canonical_segment(s: str) -> str:
-    _, gone, space, keep = _patterns()
-    s = space.sub(" ", gone.sub("", s))
-    s = "".join(part if i % 2 else unicodedata.normalize("NFKC", part) for i, part in enumerate(keep.split(s)))
-    return _WORD.sub(_latin_word, unicodedata.normalize("NFC", s))
+    seen = "".join(" " if odd_space(c) else "" if invisible(c) else c for c in s)
+    parts = ("".join(g) if k else unicodedata.normalize("NFKC", "".join(g)) for k, g in itertools.groupby(seen, kept))
+    return _WORD.sub(_latin_word, unicodedata.normalize("NFC", "".join(parts)))
 
 
 def consistent(text: str | None) -> str | None:
     """The consistent form of a text; see the module."""
     if text is None or (text.isascii() and text.isprintable()):
         return text
-    return _patterns()[0].sub(lambda m: canonical_segment(m.group()), text)
+    found, rest = _patterns()
+    out, done = [], 0
+    for m in found.finditer(text):
+        at, end = m.span()
+        if at < done:
+            continue  # inside the last segment
+        while at > done and (text[at - 1].isalnum() or unicodedata.combining(text[at - 1])):
+            at -= 1
+        if at > done and unicodedata.category(text[at - 1])[0] != "C":
+            at -= 1  # the base of a mark may be no letter
+        end = rest.match(text, end).end()
+        out += (text[done:at], canonical_segment(text[at:end]))
+        done = end
+    return "".join(out) + text[done:] if out else text
 
 
 def _consistent_series(values: pd.Series) -> pd.Series:
