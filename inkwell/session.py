@@ -26,7 +26,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's size; for scans it is the size of the files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def shuffle_parts(spark: SparkSession, size: int = 0, per_part: int = 16 << 20) -> int:
