@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import markup, neardup, textform
+from inkwell.llm import lines, markup, neardup, textform, tokens
 from inkwell.session import table
 
 
@@ -61,5 +61,32 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return values.withColumn("form", textform.consistent_column(F.col("value"))).select("table_name", "record_id", "field", "form").dropDuplicates()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_clean, p3_wrappers, p4_found, p4_forms)}
-SQL: dict[str, str] = {}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines to be removed: repeated over a site's files or over a file's pages."""
+    return lines.repeated(*lines.lines_of(table(spark, d, "document_blocks"))).select("block_uid", F.col("line_no").cast("bigint").alias("line_no"))
+
+
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How often each line occurs over the files, clusters of equal files and days of its site."""
+    over, _ = lines.line_counts(*lines.lines_of(table(spark, d, "document_blocks")))
+    return over.withColumn("key", F.hex("key"))
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every block's text without the repeated lines."""
+    blocks = table(spark, d, "document_blocks")
+    return lines.without(blocks, lines.repeated(*lines.lines_of(blocks)))
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's ids by byte_bpe_50k, without special tokens."""
+    return tokens.encode(table(spark, d, "documents"))
+
+
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text, encoded and decoded again."""
+    return tokens.decode(tokens.encode(table(spark, d, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_clean, p3_wrappers, p4_found, p4_forms, p5_found, p5_counts, p5_clean, p6_ids, p6_decoded)}
+SQL: dict[str, str] = {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
