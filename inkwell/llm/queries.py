@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import lines, markup, neardup, textform, tokens
+from inkwell.llm import leaks, lines, markup, neardup, spans, textform, tokens
 from inkwell.session import table
 
 
@@ -88,5 +88,30 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
     return tokens.decode(tokens.encode(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_clean, p3_wrappers, p4_found, p4_forms, p5_found, p5_counts, p5_clean, p6_ids, p6_decoded)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with at least 13 consecutive words of an item: of the operator's matches those whose words agree exactly."""
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).filter(F.col("run") >= leaks.WINDOW).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a window of 13 words of an item with at most one edit, and the longest exact run."""
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of documents with at least 250 consecutive characters in common."""
+    return spans.pairs(table(spark, d, "documents")).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document stands in others."""
+    return spans.coverage(table(spark, d, "documents")).withColumn("spans", F.to_json("spans"))
+
+
+def p8_removed(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text without what an earlier one holds."""
+    return spans.removed(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_clean, p3_wrappers, p4_found, p4_forms, p5_found, p5_counts, p5_clean, p6_ids, p6_decoded, p7_found, p7_leaks, p8_found, p8_coverage, p8_removed)}
 SQL: dict[str, str] = {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
