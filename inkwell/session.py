@@ -25,8 +25,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of df's size; for scans it is the size of the files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate of df's size, for scans the size of the files; 0 if it knows none (then it says some exabytes)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 50 else 0
 
 
 def shuffle_parts(spark: SparkSession, size: int = 0, per_part: int = 16 << 20) -> int:
