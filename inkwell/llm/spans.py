@@ -217,7 +217,7 @@ def shared_spans(docs: DataFrame, length: int = LENGTH, both: bool = False) -> t
     pairs = pairs.withColumn("crowd", crowd)  # a reference with many partners is streamed against in parts
     side = lambda s: pieces.select(F.col("id").alias(s), F.col("froms").alias(f"froms_{s}"), F.col("pieces").alias(f"pieces_{s}"))
     met = pairs.join(side("b"), "b").join(side("a").drop("froms_a"), "a")
-    parts = shuffle_parts(docs.sparkSession, plan_bytes(pieces))
+    parts = shuffle_parts(docs.sparkSession, plan_bytes(docs))
     met = met.repartition(parts, "a", "crowd").sortWithinPartitions("a", "crowd")
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -87,14 +87,11 @@ def _class(test) -> str:
 
 
 @functools.cache
-def _patterns() -> tuple[re.Pattern, re.Pattern]:
+def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
     bad, marks = _class(unstable), _class(mark)
     found = re.compile(f"{bad}|{marks}{{2,}}")
     rest = re.compile(f"(?:[^\\W_]|{bad}|{marks})*")
-    return found, rest
-
-
-_WORD = re.compile(r"[^\W\d_]+")
+    return found, rest, re.compile(f"[^\\W\\d_](?:[^\\W\\d_]|{marks})*")  # the last is a word: letters with their marks
 
 
 def _script(c: str) -> str:
@@ -104,7 +101,7 @@ def _script(c: str) -> str:
 def _latin_word(m: re.Match) -> str:
     word = m.group()
     foreign = [c for c in word if c > "ɏ" and _script(c) in ("CYRILLIC", "GREEK", "ARMENIAN")]
-    if not foreign or len(foreign) == len(word) or not all(c in LOOKALIKE for c in foreign):
+    if not foreign or len(foreign) == sum(map(str.isalpha, word)) or not all(c in LOOKALIKE for c in foreign):
         return word
     return "".join(LOOKALIKE.get(c, c) for c in word)
 
@@ -113,14 +110,14 @@ def _latin_word(m: re.Match) -> str:
 def canonical_segment(s: str) -> str:
     seen = "".join(" " if odd_space(c) else "" if invisible(c) else c for c in s)
     parts = ("".join(g) if k else unicodedata.normalize("NFKC", "".join(g)) for k, g in itertools.groupby(seen, kept))
-    return _WORD.sub(_latin_word, unicodedata.normalize("NFC", "".join(parts)))
+    return unicodedata.normalize("NFC", _patterns()[2].sub(_latin_word, unicodedata.normalize("NFC", "".join(parts))))
 
 
 def consistent(text: str | None) -> str | None:
     """The consistent form of a text; see the module."""
     if text is None or (text.isascii() and text.isprintable()):
         return text
-    found, rest = _patterns()
+    found, rest, _ = _patterns()
     out, done = [], 0
     for m in found.finditer(text):
         at, end = m.span()
