@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import spans as S
 from inkwell.functions.mathtext import check_math, convert_math
 from inkwell.functions.text import first, has, label, strip
+from inkwell.session import settled
 
 EMPTY_MAP = "map<string,string>"
 _CUT = "\x01"
@@ -82,7 +83,8 @@ def records(parts: DataFrame, numbers: DataFrame) -> DataFrame:
     each = lambda f: F.flatten(F.transform(F.filter(xs, lambda x: x[f].isNotNull()), lambda x: x[f]))
     got = got.withColumn("combined", strip(F.array_join(F.transform(F.filter(xs, lambda x: x["clean"].isNotNull()), lambda x: x["clean"]), "\n")))
     got = got.withColumn("combined", S.without_number(F.col("combined"), F.col("scheme").eqNullSafe("roman")))
-    got = got.withColumn("split1", option_split(F.col("combined"))).withColumn("split2", statements(F.col("split1.stem"))).withColumn("split3", subparts(F.col("split2.stem")))
+    got = settled(settled(got).withColumn("split1", option_split(F.col("combined"))))
+    got = settled(settled(got.withColumn("split2", statements(F.col("split1.stem")))).withColumn("split3", subparts(F.col("split2.stem"))))
     refs = F.transform(xs, lambda x: F.struct(x["part_id"].alias("block_id"), x["role"].alias("role")))
     got = got.select(
         "doc_id", "q_seq", F.get(xs, F.lit(0))["section"].alias("section"), "source_question_number", "raw_question_number", "scheme", "value", "event", "previous", "duplicate",
@@ -91,7 +93,8 @@ def records(parts: DataFrame, numbers: DataFrame) -> DataFrame:
         F.transform(xs, lambda x: x["part_id"]).alias("block_ids"), F.array_distinct(F.transform(xs, lambda x: x["owner"])).alias("owners"), refs.alias("source_blocks"),
         F.exists(xs, lambda x: x["block_type"] == "table").alias("has_table"), F.get(F.filter(xs, lambda x: x["block_type"] == "table"), F.lit(0))["owner"].alias("table_block_id"),
     )
-    return scored(classified(with_features(got.withColumn("equations", convert_math(F.col("raw_equations"))).drop("raw_equations"))))
+    got = settled(got.withColumn("equations", convert_math(F.col("raw_equations"))).drop("raw_equations"))
+    return settled(scored(classified(settled(with_features(got)))))
 
 
 def with_features(q: DataFrame) -> DataFrame:
@@ -161,10 +164,11 @@ def validated(q: DataFrame) -> DataFrame:
     )
     warnings = F.filter(warnings, lambda w: w.isNotNull())
     math_text = F.concat_ws("\n", F.array(stem), F.map_values(options))
-    out = q.withColumn("validation_errors", errors).withColumn("__warn", warnings)
+    out = settled(q.withColumn("validation_errors", errors).withColumn("__warn", warnings))
     out = out.withColumn("issues", F.array_distinct(F.concat("validation_errors", "__warn"))).withColumn("parsed_ok", F.size("validation_errors") == 0)
+    out = settled(out)
     out = out.withColumn("needs_review", (F.size("issues") > 0) | F.coalesce(F.col("question"), F.lit("")).contains("00 g"))
     reasons = F.when(~F.col("needs_review"), F.array().cast("array<string>")).when(F.size("issues") > 0, F.col("issues")).otherwise(F.array(F.lit("REVIEW_REQUIRED")))
     score = F.lit(0.65) + F.when(stem != "", 0.2).otherwise(0.0) + F.when(n.isin(4, 5), 0.15).otherwise(0.0) - F.when(F.size("validation_errors") > 0, 0.25).otherwise(0.0) - F.when(F.col("needs_review"), 0.1).otherwise(0.0)
     out = out.withColumn("review_reasons", reasons).withColumn("quality_score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2))
-    return out.withColumn("has_equation", (F.size("equations") > 0) | has(math_text, r"\$[^$]+\$|\\(?:frac|sqrt|int|sum|prod|pi|alpha|beta)\b|[=∫∑√∞]")).drop("__warn")
+    return settled(out.withColumn("has_equation", (F.size("equations") > 0) | has(math_text, r"\$[^$]+\$|\\(?:frac|sqrt|int|sum|prod|pi|alpha|beta)\b|[=∫∑√∞]")).drop("__warn"))

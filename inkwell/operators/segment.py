@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import predicates as P
 from inkwell.functions import spans as S
 from inkwell.functions.text import has, label, strip
+from inkwell.session import settled
 
 GENERAL = "General"
 #: What the fold needs to know of a block, as bits of one number.
@@ -32,7 +33,7 @@ def prepared(blocks: DataFrame) -> DataFrame:
     so_far = Window.partitionBy("doc_id").orderBy("ord", "block_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("section", F.coalesce(F.last(title, ignorenulls=True).over(so_far), F.lit(GENERAL)))
     cited = F.when(paragraph, S.appearances(F.col("text_raw"))).otherwise(F.array().cast("array<string>"))
-    return rows.withColumn("appearances", cited).withColumn("text", F.when(paragraph, S.without_citations(F.col("text_raw"))).otherwise(F.col("text_raw")))
+    return settled(rows.withColumn("appearances", cited).withColumn("text", F.when(paragraph, S.without_citations(F.col("text_raw"))).otherwise(F.col("text_raw"))))
 
 
 def parts(rows: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def flagged(pieces: DataFrame) -> DataFrame:
     t = strip(F.col("text"))
     paragraph = F.col("block_type").eqNullSafe("paragraph")
     skipped = paragraph & (P.is_section_header(F.col("text")) | (t == ""))
-    rows = pieces.filter(~skipped).withColumn("number", F.when(paragraph, P.question_number(F.col("text"))))
+    rows = settled(pieces).filter(~skipped).withColumn("number", F.when(paragraph, P.question_number(F.col("text"))))
     order = Window.partitionBy("doc_id").orderBy("ord", "block_id", "part")
     rows = rows.withColumn("transition", F.col("section") != F.lag("section", 1, GENERAL).over(order))
     rows = rows.withColumn("run", F.sum(F.col("transition").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))

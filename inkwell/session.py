@@ -42,3 +42,8 @@ def once_per(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     other = F.when(F.col(key).isNull(), F.xxhash64(*order))
     w = Window.partitionBy(F.col(key), other).orderBy(*order)
     return df.withColumn("__first", F.row_number().over(w)).filter("__first = 1").drop("__first")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df behind a generator of one row each: the optimizer neither pushes filters through it nor merges projections across it, so long expressions are computed once and not copied."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
