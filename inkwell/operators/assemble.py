@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import spans as S
 from inkwell.functions.mathtext import check_math, convert_math
 from inkwell.functions.text import first, has, label, strip
-from inkwell.session import settled
+from inkwell.session import settled, shuffle_parts
 
 EMPTY_MAP = "map<string,string>"
 _CUT = "\x01"
@@ -76,7 +76,8 @@ def records(parts: DataFrame, numbers: DataFrame) -> DataFrame:
         "ord", F.col("block_id"), "part", "part_id", "block_type", "section", "appearances", clean.alias("clean"), owner.alias("owner"),
         S.role(F.coalesce("block_type", F.lit("")), F.col("text")).alias("role"), F.when(paragraph, S.images(F.col("text"))).alias("images"), F.when(paragraph, S.equations(S.without_images(F.col("text")))).alias("raw_equations"),
     )
-    got = parts.groupBy("doc_id", "q_seq").agg(F.array_sort(F.collect_list(item)).alias("xs"))
+    n = shuffle_parts(parts.sparkSession)
+    got = parts.repartition(n, "doc_id", "q_seq").groupBy("doc_id", "q_seq").agg(F.array_sort(F.collect_list(item)).alias("xs"))
     number = numbers.select("doc_id", "q_seq", F.col("label").alias("source_question_number"), F.col("raw").alias("raw_question_number"), "scheme", "value", "event", "previous", "duplicate")
     got = got.join(number, ["doc_id", "q_seq"], "left")
     xs = F.col("xs")

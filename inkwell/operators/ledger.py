@@ -36,9 +36,14 @@ def with_citations(q: DataFrame, targets: DataFrame) -> DataFrame:
     return more.withColumn("block_ids", F.array_distinct(F.concat("block_ids", ids))).withColumn("owners", F.array_distinct(F.concat("owners", ids))).drop("more")
 
 
-def source_ledger(rows: DataFrame, q: DataFrame) -> DataFrame:
+def owners(parts: DataFrame, targets: DataFrame) -> DataFrame:
+    """(doc_id, block_key, q_seq): the first question that holds a part of each block, or that its citations were put to."""
+    own = parts.select("doc_id", F.col("block_id").cast("string").alias("block_key"), "q_seq").unionByName(targets.filter("q_seq is not null").select("doc_id", F.col("block_id").alias("block_key"), "q_seq"))
+    return own.groupBy("doc_id", "block_key").agg(F.min("q_seq").alias("q_seq"))
+
+
+def source_ledger(rows: DataFrame, owned: DataFrame) -> DataFrame:
     """(doc_id, ord, block_id, status, reason, q_seq): what became of each source block, exactly one row each."""
-    owned = q.select("doc_id", F.explode("owners").alias("block_key"), "q_seq").groupBy("doc_id", "block_key").agg(F.min("q_seq").alias("q_seq"))
     got = rows.withColumn("block_key", F.col("block_id").cast("string")).join(owned, ["doc_id", "block_key"], "left")
     heading = (F.col("block_type") == "paragraph") & is_section_header(F.col("text"))
     ignored = F.when(F.col("is_noise"), "matched configured noise filter").when(F.col("q_seq").isNull() & heading, "section heading retained in section metadata")

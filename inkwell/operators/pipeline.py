@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,27 +10,47 @@ from pyspark.sql import functions as F
 from inkwell.operators import assemble, ledger, segment
 
 
-@dataclass
 class Bank:
-    """rows: prepared blocks; parts: with q_seq; numbers: numbering events; questions: validated records; ledger: one row per block; diagnostics: one row per document."""
+    """All tables of a question bank; each is planned when it is first asked for.
 
-    rows: DataFrame
-    parts: DataFrame
-    numbers: DataFrame
-    questions: DataFrame
-    ledger: DataFrame
-    diagnostics: DataFrame
+    rows: prepared blocks; parts: with q_seq; numbers: numbering events; questions: validated records; ledger: one row per block; diagnostics: one row per document.
+    """
+
+    def __init__(self, blocks: DataFrame):
+        self.blocks = blocks
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return segment.prepared(self.blocks)
+
+    @cached_property
+    def parts(self) -> DataFrame:
+        return segment.segmented(segment.flagged(segment.parts(self.rows)))
+
+    @cached_property
+    def numbers(self) -> DataFrame:
+        return segment.numbering(self.parts)
+
+    @cached_property
+    def cited(self) -> DataFrame:
+        return ledger.citation_targets(ledger.citation_blocks(self.rows), self.parts)
+
+    @cached_property
+    def questions(self) -> DataFrame:
+        return ledger.with_citations(assemble.validated(assemble.records(self.parts, self.numbers)), self.cited)
+
+    @cached_property
+    def ledger(self) -> DataFrame:
+        return ledger.source_ledger(self.rows, ledger.owners(self.parts, self.cited))
+
+    @cached_property
+    def diagnostics(self) -> DataFrame:
+        return ledger.diagnostics(self.questions, self.ledger)
 
 
 def build(blocks: DataFrame) -> Bank:
-    """blocks: doc_id, ord, block_id, block_type, text; other columns are ignored. Nothing is computed before it is asked for."""
-    rows = segment.prepared(blocks)
-    parts = segment.segmented(segment.flagged(segment.parts(rows)))
-    numbers = segment.numbering(parts)
-    q = assemble.validated(assemble.records(parts, numbers))
-    q = ledger.with_citations(q, ledger.citation_targets(ledger.citation_blocks(rows), parts))
-    book = ledger.source_ledger(rows, q)
-    return Bank(rows, parts, numbers, q, book, ledger.diagnostics(q, book))
+    """blocks: doc_id, ord, block_id, block_type, text; other columns are ignored."""
+    return Bank(blocks)
 
 
 def blocks_of(table: DataFrame) -> DataFrame:

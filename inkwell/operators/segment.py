@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import predicates as P
 from inkwell.functions import spans as S
 from inkwell.functions.text import has, label, strip
-from inkwell.session import settled
+from inkwell.session import settled, shuffle_parts
 
 GENERAL = "General"
 #: What the fold needs to know of a block, as bits of one number.
@@ -28,6 +28,8 @@ def prepared(blocks: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     paragraph = F.col("block_type") == "paragraph"
     rows = blocks.select("doc_id", "ord", "block_id", "block_type", text.alias("text_raw"))
+    # the windows and the fold need this exchange anyway; as one of a given number it isn't coalesced, for the work is in the patterns, not in the bytes
+    rows = rows.repartition(shuffle_parts(blocks.sparkSession), "doc_id")
     rows = rows.withColumn("is_noise", F.col("block_type").eqNullSafe("paragraph") & (P.is_noise(F.col("text_raw")) | ~has(F.col("text_raw"), r"(?U)\S")))
     title = F.when(F.col("block_type").eqNullSafe("paragraph") & ~F.col("is_noise") & P.is_section_header(F.col("text_raw")), strip(F.regexp_replace("text_raw", ":+$", "")))
     so_far = Window.partitionBy("doc_id").orderBy("ord", "block_id").rowsBetween(Window.unboundedPreceding, 0)
