@@ -114,7 +114,7 @@ def match_columns(stem: Column) -> Column:
         return F.zip_with(all_of(rest, pattern, 1), all_of(rest, pattern, 2), lambda n, t: F.concat(F.lit("("), n, F.lit(")  "), strip(t)))
 
     def name(numeral: str) -> Column:
-        given = F.element_at(all_of(head, rf"(?i)\bColumn\s+{numeral}\b(?:\s*\(([^)]+)\))?", 1), -1)
+        given = F.try_element_at(all_of(head, rf"(?i)\bColumn\s+{numeral}\b(?:\s*\(([^)]+)\))?", 1), F.lit(-1))
         return F.when(F.coalesce(given, F.lit("")) == "", F.lit(f"Column {numeral}")).otherwise(strip(given))
 
     intro = strip(F.regexp_replace(strip(F.regexp_replace(head, r"(?is)^(.*)\bColumn\s+I\b.*$", "$1")), ":+$", ""))
