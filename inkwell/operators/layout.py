@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.functions.spans import citation
 from inkwell.functions.text import strip
 
 OPTION_WIDTH, TOP, BOTTOM = 2.6, 1.25, 7.1
@@ -23,6 +24,21 @@ def badge_width(text: Column, size: float = 15.0) -> Column:
     return F.round(size * (thin * 0.0045 + narrow * 0.0050 + wide * 0.0095 + rest * 0.0078) + 0.36, 2)
 
 
+def badge(question: Column, options: Column, appearances: Column, parsed_ok: Column, needs_review: Column) -> Column:
+    """The badge of a question: its appearances, else the year tag of its stem, else that of option D; marked where it needs review. Null if there is nothing to say."""
+    seen = F.filter(F.transform(appearances, lambda a: F.regexp_replace(a, r"^[()\[\] \t]+|[()\[\] \t]+$", "")), lambda a: a != "")
+    said = F.when(F.size(seen) > 0, F.array_join(seen, ", ")).otherwise(F.coalesce(citation(question)["citation"], citation(options["D"])["citation"]))
+    marked = F.when(said.isNull(), F.lit("NEEDS REVIEW")).otherwise(F.concat(said, F.lit(" · NEEDS REVIEW")))
+    return F.when(F.coalesce(needs_review, F.lit(False)) | ~F.coalesce(parsed_ok, F.lit(True)), marked).otherwise(said)
+
+
+def outermost_formulas(nodes: DataFrame) -> DataFrame:
+    """Nodes of kind math_sequence that lie in no other one, by their intervals: nodes are those of nested.flatten_nodes."""
+    math = nodes.filter(F.col("label") == "math_sequence")
+    before = Window.partitionBy("block_uid").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
+    return math.withColumn("reach", F.max("post").over(before)).filter(F.col("reach").isNull() | (F.col("reach") < F.col("post"))).drop("reach")
+
+
 def fits_one_row(options: Column, width: float = OPTION_WIDTH) -> Column:
     """All four options are there, short, and one or two lines high."""
     value = lambda c: strip(F.coalesce(options[c], F.lit("")))

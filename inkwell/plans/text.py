@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.fixtures import exam_blocks, exam_lines
-from inkwell.functions import chem, mathtext, runs
+from inkwell.functions import chem, mathtext, mathtree, runs
 from inkwell.functions import predicates as P
 from inkwell.functions import spans as S
 from inkwell.functions.mathtext import readable_series
-from inkwell.operators import layout, lineparse, pagespans, repair
+from inkwell.operators import layout, lineparse, nested, pagespans, repair
 from inkwell.operators.pipeline import build
 from inkwell.plans.bank import joined
 from inkwell.session import table
@@ -193,3 +193,24 @@ def q_span_segments(spark: SparkSession, d: str) -> DataFrame:
 def q_line_groups(spark: SparkSession, d: str) -> DataFrame:
     """Items of the pages in groups that overlap from top to bottom."""
     return pagespans.line_groups(pagespans.items(_page_spans(spark, d))).select("doc_id", "page", "item", "text", "line_group")
+
+
+@query()
+def q_formula_trees(spark: SparkSession, d: str) -> DataFrame:
+    """LaTeX of the formula trees in the blocks' inline content."""
+    b = table(spark, d, "document_blocks").filter(F.col("inline_content").contains("math_sequence")).select("block_uid", "inline_content").distinct()
+    return b.select("block_uid", F.posexplode(mathtree.formulas(F.col("inline_content"))).alias("n", "latex"))
+
+
+@query()
+def q_formula_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The same formulas by the intervals of their nodes, anywhere in the blocks, with their names in a deck."""
+    nodes = layout.outermost_formulas(nested.flatten_nodes(table(spark, d, "document_blocks")))
+    return nodes.select("block_uid", "node_path", layout.math_id(F.lit("1"), F.col("block_uid").cast("string"), F.col("idx")).alias("math_id"))
+
+
+@query()
+def q_badges(spark: SparkSession, d: str) -> DataFrame:
+    """Badges of the bank's questions."""
+    q = table(spark, d, "questions").filter("question_uid is not null").groupBy("question_uid").agg(*[F.any_value(c).alias(c) for c in ("question", "options", "appearances", "parsed_ok", "needs_review")])
+    return q.select("question_uid", layout.badge(*[F.col(c) for c in ("question", "options", "appearances", "parsed_ok", "needs_review")]).alias("badge")).filter("badge is not null")
