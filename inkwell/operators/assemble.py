@@ -7,21 +7,32 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import spans as S
 from inkwell.functions.mathtext import check_math, convert_math
-from inkwell.functions.text import first, has, label, strip
+from inkwell.functions.predicates import LABEL_AD
+from inkwell.functions.text import first, has, strip
 from inkwell.session import settled, shuffle_parts
 
 EMPTY_MAP = "map<string,string>"
-_CUT = "\x01"
-_FOUR = "(?is)^(.*)" + "(.*?)".join(label(c) for c in "ABCD") + "(.*)$"
 _ROMANS = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii")
 
 
 def option_split(text: Column) -> Column:
-    """struct(stem, options): the last A label that B, C and D follow begins the options; without all four there are none."""
-    pieces = F.split(F.regexp_replace(text, _FOUR, _CUT.join(f"${i}" for i in range(1, 6))), _CUT, -1)
-    options = F.create_map(*[x for i, c in enumerate("ABCD", 1) for x in (F.lit(c), strip(F.get(pieces, F.lit(i))))])
-    found = has(text, _FOUR)
-    return F.struct(F.when(found, strip(F.get(pieces, F.lit(0)))).otherwise(text).alias("stem"), F.when(found, options).otherwise(F.create_map().cast(EMPTY_MAP)).alias("options"))
+    """struct(stem, options): the last A label that B, C and D follow begins the options; without all four there are none.
+
+    The text is cut at every label and the order of the letters is read off a short string, so long texts cost linear time.
+    """
+    pieces = F.split(text, f"(?={LABEL_AD})", -1)
+    letters = F.array_join(F.transform(pieces, lambda p: F.when(has(p, f"^{LABEL_AD}"), F.upper(first(p, "[A-Da-d]"))).otherwise("-")), "")
+    order = "^(.*)A(.*?)B(.*?)C(.*?)D"
+    at, spots = F.lit(0), []
+    for i in range(1, 5):
+        at = at + F.length(first(letters, order, i)) + F.lit(int(i > 1))
+        spots.append(at)
+    ends = [*spots[1:], F.size(pieces)]
+    value = lambda a, b: strip(F.regexp_replace(F.array_join(F.slice(pieces, a + 1, F.greatest(b - a, F.lit(0))), ""), f"^{LABEL_AD}", ""))
+    options = F.create_map(*[x for c, a, b in zip("ABCD", spots, ends, strict=True) for x in (F.lit(c), value(a, b))])
+    found = has(letters, order)
+    stem = strip(F.array_join(F.slice(pieces, F.lit(1), spots[0]), ""))
+    return F.struct(F.when(found, stem).otherwise(text).alias("stem"), F.when(found, options).otherwise(F.create_map().cast(EMPTY_MAP)).alias("options"))
 
 
 def _listed(body: Column, marks: list[tuple[str, str]], flags: str) -> Column:
@@ -30,8 +41,8 @@ def _listed(body: Column, marks: list[tuple[str, str]], flags: str) -> Column:
     there = F.lit(True)
     for i, (name, mark) in enumerate(marks):
         there = there & has(body, rf"{flags}(?:^|\n){mark}")
-        stop = rf"(?!\n{marks[i + 1][1]})" if i + 1 < len(marks) else ""
-        text = strip(first(body, rf"{flags}(?s)(?:^|\n){mark}((?:{stop}.)*)", 1))
+        stop = rf"\n{marks[i + 1][1]}|" if i + 1 < len(marks) else ""
+        text = strip(first(body, rf"{flags}(?s)(?:^|\n){mark}(.*?)(?:{stop}\z)", 1))
         items.append(F.when(there, F.struct(F.lit(name).alias("label"), text.alias("text"))))
     return F.filter(F.array(*items), lambda x: x.isNotNull())
 

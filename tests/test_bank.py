@@ -1,5 +1,6 @@
 import pytest
 
+from inkwell.functions import chem
 from inkwell.operators.pipeline import build
 
 SCHEMA = "doc_id bigint, ord bigint, block_id string, block_type string, text string, section string, bits string"
@@ -61,7 +62,12 @@ def test_tables_and_empty(spark):
     assert none.questions.count() == 0 and none.ledger.count() == 0 and none.diagnostics.count() == 0
 
 
-@pytest.mark.parametrize("n", [2_000])
+@pytest.mark.parametrize("n", [10_000])
 def test_long_block(spark, n):
     (r,) = bank(spark, {1: ["1. " + "word " * n + "end?", "(A) " + "x " * n + "(B) y (C) z (D) w"]}).questions.collect()
     assert len(r.options["A"]) == 2 * n - 1
+    long = "y " * n
+    texts = [f"1. Statement I: {long}\nStatement II: {long}", f"2. Which?\nA. {long}", f"3. All\n(i) {long}\n(ii) {long}", "4. " + "H" * n + " 2 " + "(" * 500 + "$" * n]
+    q = {x.q_seq: x for x in bank(spark, {1: texts}).questions.collect()}
+    assert len(q) == 4 and [len(s.text) for s in q[1].statements] == [2 * n - 1] * 2 and len(q[3].subparts) == 2
+    assert len(chem.with_chem(spark.createDataFrame([(texts[3],)], "t string"), "t").first().t) >= n
