@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.session import plan_bytes, shuffle_parts
+from inkwell.session import checkpointed, plan_bytes, shuffle_parts
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's makers split text before the merges.
@@ -93,7 +93,7 @@ def block_words(spread: DataFrame) -> DataFrame:
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids): the ids of each row's text. Null and empty texts have an empty list; repeated and null keys each keep their row; other columns are ignored."""
     spread = blocked(docs, key, text)
-    per_block = block_words(spread)
+    per_block = checkpointed(block_words(spread))  # read twice; without it every text would be split once more
     known = per_block.join(encode_words(per_block.select("word").distinct(), vocabulary), "word").select("blk", "word", "ids")
 
     def place(texts: pa.Table, words: pa.Table) -> pa.Table:
