@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.fixtures import exam_blocks, exam_lines
@@ -138,8 +138,14 @@ _LINES = "greatest(1, ceil(len(trim(x)) / 78.0))"
 
 @query(_Q + " SELECT question_uid, CASE WHEN question = '' THEN 0.35 ELSE round(greatest(0.35, list_sum(list_transform(string_split(question, chr(10)), lambda x: greatest(1, ceil(len(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) / 78.0)))) * 0.333), 6) END AS height FROM q WHERE NOT regexp_matches(question, '[^\\x00-\\x7F]')")
 def q_content_height(spark: SparkSession, d: str) -> DataFrame:
-    """Height of each plain question at 12 inches and 18 points."""
-    q = _questions(spark, d).filter(~F.col("question").rlike(r"[^\x00-\x7F]"))
+    """Height of each ASCII question at 12 inches and 18 points: those of q_content_height_all that the SQL can be held against."""
+    return q_content_height_all(spark, d, ~F.col("question").rlike(r"[^\x00-\x7F]"))
+
+
+@query()
+def q_content_height_all(spark: SparkSession, d: str, kept: Column | None = None) -> DataFrame:
+    """Height of every question, whatever its characters; SQL can't strip and count such text alike."""
+    q = _questions(spark, d) if kept is None else _questions(spark, d).filter(kept)
     return q.select("question_uid", F.round(layout.content_height(F.col("question"), 12.0, 18), 6).alias("height"))
 
 
