@@ -152,9 +152,15 @@ def q_content_height_all(spark: SparkSession, d: str, kept: Column | None = None
 @query("""WITH o AS (SELECT question_uid, max(CAST(options AS VARCHAR)) AS k, any_value(options) AS o FROM questions WHERE question_uid IS NOT NULL AND options IS NOT NULL GROUP BY question_uid)
  SELECT question_uid, coalesce(list_bool_and(list_transform(['A', 'B', 'C', 'D'], lambda c: o[c] IS NOT NULL AND len(regexp_replace(o[c], '^\\s+|\\s+$', '', 'g')) BETWEEN 1 AND 32)), false) AS fits FROM o WHERE NOT regexp_matches(k, '[^\\x00-\\x7F]|\\n')""")
 def q_fit_1x4(spark: SparkSession, d: str) -> DataFrame:
-    """Questions whose options fit in one row."""
+    """Whether the options fit in one row, of questions whose values are ASCII without line ends: those that the SQL can be held against."""
+    return q_fit_1x4_all(spark, d, ~F.array_join(F.map_values("options"), " ").rlike(r"[^\x00-\x7F]|\n"))
+
+
+@query()
+def q_fit_1x4_all(spark: SparkSession, d: str, kept: Column | None = None) -> DataFrame:
+    """The same of every question with options, also where values have several lines or any characters, which SQL can't strip and count alike."""
     o = table(spark, d, "questions").filter("question_uid is not null and options is not null").groupBy("question_uid").agg(F.any_value("options").alias("options"))
-    o = o.filter(~F.array_join(F.map_values("options"), " ").rlike(r"[^\x00-\x7F]|\n"))
+    o = o if kept is None else o.filter(kept)
     return o.select("question_uid", layout.fits_one_row(F.col("options")).alias("fits"))
 
 
