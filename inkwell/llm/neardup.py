@@ -162,6 +162,12 @@ def groups(links: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(found, members.rep == found.a, "left").select("id", F.coalesce("label", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def with_rest(grouped: DataFrame, ids: DataFrame) -> DataFrame:
+    """grouped with a row for every other id: a group of its own without links. Null ids give no row."""
+    every = ids.select("id").filter("id is not null").distinct()
+    return every.join(grouped, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def question_sets(questions: DataFrame, least: int = 1) -> DataFrame:
     """Word sets of question records: question and all option values. Blank or null questions and null ids give no row; copies count once."""
     rows = questions.select("question_uid", "question", "options", "ingested_at").filter(F.col("question_uid").isNotNull() & F.col("question").rlike(r"\S"))

@@ -27,9 +27,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Every question with its group of near-duplicates and its number of links."""
-    links, members = neardup.near_duplicates(neardup.question_sets(table(spark, d, "questions"), 30), 0.7)
-    return neardup.groups(links, members).withColumnRenamed("id", "question_uid")
+    """Every question, however short, with its group of near-duplicates and its number of links; blank ones and those without words are groups of their own."""
+    questions = table(spark, d, "questions")
+    links, members = neardup.near_duplicates(neardup.question_sets(questions), 0.7)
+    return neardup.with_rest(neardup.groups(links, members), questions.select(F.col("question_uid").alias("id"))).withColumnRenamed("id", "question_uid")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
