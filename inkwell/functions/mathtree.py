@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkwell.operators.nested import read_cell
+from inkwell.operators.nested import FIELDS, _elements, read_cell
 
 # How each kind is written; {role} is an operand.
 TEMPLATES = {
@@ -75,6 +75,36 @@ def formulas(inline_content: Column) -> Column:
     return F.when(some, udf(F.when(some, inline_content)))
 
 
+def placed(cells: dict) -> list[tuple[str, str]]:
+    """(node_path, LaTeX) of the outermost formulas anywhere in a record's cells, in the order of the nodes."""
+    out = []
+    stack = [("", _elements(cells))]
+    while stack:
+        path, rest = stack[-1]
+        step = next(rest, None)
+        if step is None:
+            stack.pop()
+            continue
+        field, idx, x = step
+        own = f"{path}.{field}[{idx}]" if path else f"{field}[{idx}]"
+        if isinstance(x, dict):
+            if x.get("kind") == "math_sequence" and field != "runs":
+                out.append((own, tree_latex(x)))
+            else:
+                stack.append((own, _elements(x)))
+    return out
+
+
+def _placed(cells: pd.DataFrame) -> pd.Series:
+    rows = zip(*(cells[f] for f in FIELDS), strict=True)
+    return pd.Series([[{"node_path": p, "latex": x} for p, x in placed({f: read_cell(c) for f, c in zip(FIELDS, row, strict=True)})] for row in rows], dtype=object)
+
+
+def placed_formulas() -> Column:
+    """(node_path, latex) of the outermost formulas in the three JSON cells of a block."""
+    return F.pandas_udf(_placed, "array<struct<node_path:string,latex:string>>")(F.struct(*FIELDS))
+
+
 def readable(latex: pd.Series) -> pd.Series:
     from inkwell.functions.latex import to_readable
 

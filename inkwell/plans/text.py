@@ -13,7 +13,7 @@ from inkwell.functions.mathtext import readable_series
 from inkwell.operators import layout, lineparse, nested, pagespans, repair
 from inkwell.operators.pipeline import build
 from inkwell.plans.bank import joined
-from inkwell.session import table
+from inkwell.session import once_per, table
 
 QUERIES, SQL = {}, {}
 
@@ -209,9 +209,12 @@ def q_line_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_formula_trees(spark: SparkSession, d: str) -> DataFrame:
-    """LaTeX of the formula trees in the blocks' inline content."""
-    b = table(spark, d, "document_blocks").filter(F.col("inline_content").contains("math_sequence")).select("block_uid", "inline_content").distinct()
-    return b.select("block_uid", F.posexplode(mathtree.formulas(F.col("inline_content"))).alias("n", "latex"))
+    """LaTeX of the formula trees anywhere in the blocks, also in nested rows, cells and paragraphs, with their places. Runs, which repeat a formula as flat text, are left out."""
+    named = F.lit(False)
+    for f in nested.FIELDS:
+        named = named | F.coalesce(F.col(f).contains("math_sequence"), F.lit(False))
+    b = once_per(table(spark, d, "document_blocks").select("block_uid", *nested.FIELDS, "ingested_at").filter(named), "block_uid", ["ingested_at", *nested.FIELDS])
+    return b.select("block_uid", F.posexplode(mathtree.placed_formulas()).alias("n", "x")).select("block_uid", "n", "x.node_path", "x.latex")
 
 
 @query()

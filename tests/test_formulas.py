@@ -6,6 +6,7 @@ from inkwell.functions import chem
 from inkwell.functions.mathtree import formulas, sequences, tree_latex
 from inkwell.operators import geometry, layout
 from inkwell.operators.nested import flatten_nodes
+from inkwell.plans import text
 
 
 def n(kind, *kids, value=None, **more):
@@ -51,3 +52,17 @@ def test_badges(spark):
     assert [r.b for r in df.select(layout.badge(*[F.col(c) for c in "qoapn"]).alias("b")).collect()] == ["(2020)", "(2019M) · NEEDS REVIEW", "2021 · NEEDS REVIEW", None]
     t = spark.createDataFrame([("CCl4 Ca2+ [A] 2",), (None,)], "t string")
     assert [r.c for r in t.select(chem.isolated(F.col("t")).alias("c")).collect()] == ["CCl₄ Ca²⁺ [A]^{2}", None]
+
+
+def test_nested_formulas(spark, sf, tmp_path):
+    para = {"block_type": "paragraph", "inline_content": [{"kind": "text", "value": "t"}, n("math_sequence", FRACTION, n("math_sequence", leaf("in")))]}
+    row = {"block_type": "table_row", "children": [{"block_type": "table_cell", "children": para}, None, {"block_type": "table_cell", "inline_content": n("math_sequence", leaf("y"))}]}
+    cells = (json.dumps(json.dumps([row])), json.dumps([{"type": "math", "text": "math_sequence"}]), json.dumps([n("group", n("math_sequence", leaf("z")))]))
+    df = spark.createDataFrame([(1, *cells, None), (1, *cells, None), (2, cells[0][:-9], None, None, None), (3, None, None, None, None)], "block_uid bigint, children string, runs string, inline_content string, ingested_at timestamp")
+    df.coalesce(1).write.parquet(f"{tmp_path}/document_blocks.parquet")
+    got = [tuple(r) for r in text.q_formula_trees(spark, str(tmp_path)).orderBy("n").collect()]
+    at = "children[0].children"
+    assert got == [(1, 0, f"{at}[0].children[0].inline_content[1]", r"\frac{a}{\sqrt{b}}in"), (1, 1, f"{at}[2].inline_content[0]", "y"), (1, 2, "inline_content[0].children[0]", "z")]
+    for d in (str(tmp_path), sf):  # the same formulas as by the intervals of the nodes, which have the runs that repeat them too
+        trees, nodes = (sorted((r.block_uid, r.node_path) for r in q(spark, d).collect()) for q in (text.q_formula_trees, text.q_formula_nodes))
+        assert trees == [x for x in nodes if not x[1].rpartition(".")[2].startswith("runs[")]
