@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.operators import assemble, ledger, segment
+from inkwell.operators import assemble, ledger, payload, segment
 
 
 class Bank:
@@ -36,29 +36,34 @@ class Bank:
         return ledger.citation_targets(ledger.citation_blocks(self.rows), self.parts)
 
     @cached_property
-    def questions(self) -> DataFrame:
+    def validated(self) -> DataFrame:
         return ledger.with_citations(assemble.validated(assemble.records(self.parts, self.numbers)), self.cited)
 
+    @cached_property
+    def questions(self) -> DataFrame:
+        nested = {"children", "inline_content"} <= set(self.blocks.columns)
+        return payload.attached(self.validated, self.blocks) if nested else self.validated
+
     @cached_property
     def ledger(self) -> DataFrame:
         return ledger.source_ledger(self.rows, ledger.owners(self.parts, self.cited))
 
     @cached_property
     def diagnostics(self) -> DataFrame:
-        return ledger.diagnostics(self.questions, self.ledger)
+        return ledger.diagnostics(self.validated, self.ledger)
 
 
 def build(blocks: DataFrame) -> Bank:
-    """blocks: doc_id, ord, block_id, block_type, text; other columns are ignored."""
+    """blocks: doc_id, ord, block_id, block_type, text; with children and inline_content the records have their tables and inline nodes too. Other columns are ignored."""
     return Bank(blocks)
 
 
 def blocks_of(table: DataFrame) -> DataFrame:
-    """document_blocks rows as blocks, repeated rows once; tables get the text of their cells, each on a line."""
+    """document_blocks rows as blocks, repeated rows once, with their nested cells. A table's cells stay out of its text, for their words must not take part in the segmentation; they come into the records by payload.attached."""
     from inkwell.session import once_per
 
-    kept = once_per(table.select("block_uid", "file_id", F.col("ord").cast("bigint").alias("ord"), "block_id", "block_type", "text", "ingested_at").filter("file_id is not null"), "block_uid", ["ingested_at", "ord", "block_id", "text"])
-    return kept.select(F.col("file_id").alias("doc_id"), "ord", "block_id", F.coalesce("block_type", F.lit("paragraph")).alias("block_type"), "text")
+    kept = once_per(table.select("block_uid", "file_id", F.col("ord").cast("bigint").alias("ord"), "block_id", "block_type", "text", "children", "inline_content", "ingested_at").filter("file_id is not null"), "block_uid", ["ingested_at", "ord", "block_id", "text"])
+    return kept.select(F.col("file_id").alias("doc_id"), "ord", "block_id", F.coalesce("block_type", F.lit("paragraph")).alias("block_type"), "text", "children", "inline_content")
 
 
 def sections(rows: DataFrame) -> DataFrame:

@@ -227,9 +227,9 @@ def q_duplicate_block_refs(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_block_bank(spark: SparkSession, d: str) -> DataFrame:
-    """The question bank of the exam files: every question of document_blocks with its outcome."""
+    """The question bank of the exam files: every question of document_blocks with its outcome, tables and inline nodes."""
     q = ledger.outcome(build(blocks_of(table(spark, d, "document_blocks"))).questions)
-    return q.select("doc_id", "q_seq", "section", "source_question_number", "question", "question_type", F.size("options").alias("n_options"), "bucket", "quality_score", joined("issues").alias("issues"))
+    return q.select("doc_id", "q_seq", "section", "source_question_number", "question", "question_type", F.size("options").alias("n_options"), "bucket", "quality_score", joined("issues").alias("issues"), F.to_json("tables").alias("tables"), F.to_json("inline_content").alias("inline_content"))
 
 
 @query()
