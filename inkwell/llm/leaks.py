@@ -1,8 +1,9 @@
 """Held-out items inside corpus texts, by pigeonhole edit matching.
 
 A leak is a run of window consecutive words of an item that stands in a text with at most budget edits (of characters). The
-item's words are cut into pieces so short that every window holds budget + 1 whole pieces; an edit spoils at most one of
-them, so at least one piece stands in the text exactly. All pieces are looked up at once; what a hit suggests is
+item's words are taken in pieces that begin at every word. An edit spoils two neighbouring words at most (a lost space joins
+them), so the rest of a window holds a run of words that no edit touched; pieces are no longer than that run, and one of
+them stands in the text exactly. All pieces are looked up at once; what a hit suggests is
 verified with Myers' bit-parallel edit distance.
 """
 
@@ -37,6 +38,11 @@ def piece_words(window: int, budget: int) -> int:
     return size
 
 
+def intact_words(window: int, budget: int) -> int:
+    """The least length of a window's longest run of words that no edit touches: an edit spoils two words at most."""
+    return -(-(window - 2 * budget) // (budget + 1))
+
+
 def distance(pattern: str, text: str) -> int:
     """The least edit distance of the pattern to any part of the text: Myers' bit-vectors, a big integer a column."""
     m = len(pattern)
@@ -68,11 +74,11 @@ class Items:
     """The items' pieces in one automaton."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW, budget: int = BUDGET):
-        self.window, self.budget, self.size = window, budget, piece_words(window, budget)
+        self.window, self.budget, self.size = window, budget, max(1, min(piece_words(window, budget), intact_words(window, budget)))
         self.words = {i: w for i, q in items if q and len(w := normal_words(q)) >= window}
         places: dict[str, list[tuple[str, int]]] = defaultdict(list)
         for i, w in self.words.items():
-            for at in range(0, len(w) - self.size + 1, self.size):
+            for at in range(len(w) - self.size + 1):
                 places[" " + " ".join(w[at : at + self.size]) + " "].append((i, at))
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
@@ -118,7 +124,7 @@ class Items:
             hopeful.append((a, b, shift))
         if longest >= w:
             return longest, 0
-        whole = -(-(w - 2 * self.budget) // (self.budget + 1))  # an edit spoils two words at most, and the rest holds a run of these
+        whole = intact_words(w, self.budget)
         for a, b, shift in hopeful:
             if b - a < whole:
                 continue

@@ -58,3 +58,14 @@ def test_empty(spark):
     d, e = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "item_id string, question string")
     assert leaks(d, e).count() == 0
     assert leaks(spark.createDataFrame([(1, "x")], "doc_id bigint, text string"), e).count() == 0
+
+
+def test_lost_space_at_every_gap():
+    item = [f"w{a}{b}" for a in "abcde" for b in "rstuvx"]
+    items = Items([("a", " ".join(item))])
+    for start in range(len(item) - WINDOW + 1):
+        w = item[start : start + WINDOW]
+        assert items.search(" ".join(["x", *w, "y"])) == {"a": (WINDOW, 0)}
+        for gap in range(1, WINDOW):
+            text = " ".join(["other", "words", *w[: gap - 1], w[gap - 1] + w[gap], *w[gap + 1 :], "and", "more"])
+            assert items.search(text) == {"a": (max(gap - 1, WINDOW - gap - 1), 1)}, (start, gap)
