@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,34 +21,57 @@ TEMPLATES = {
 OPERATORS = {"∫": r"\int", "∑": r"\sum", "∏": r"\prod"}
 
 
-def tree_latex(node: dict, depth: int = 0) -> str:
-    """LaTeX of one node; nodes of no known kind are their children in order, or their value. Beyond 200 levels only values are taken."""
-    kids = [c for c in node.get("children") or [] if isinstance(c, dict)] if isinstance(node.get("children"), list) and depth < 200 else []
-    kind, value = node.get("kind") or "", str(node.get("value") or "").strip().strip("$")
-
-    def operand(role: str) -> str:
-        found = next((c for c in kids if c.get("kind") == role), None)
-        if found is None:
-            return ""
-        below = [c for c in found.get("children") or [] if isinstance(c, dict)] if isinstance(found.get("children"), list) else []
-        return tree_latex(below[0], depth + 2) if below else str(found.get("value") or "")
-
-    each = lambda: [tree_latex(c, depth + 1) for c in kids]
-    if kind in TEMPLATES and kids:
-        form, roles = TEMPLATES[kind]
-        return form % tuple(map(operand, roles))
-    if kind == "radical" and kids:
-        degree = operand("degree")
-        return rf"\sqrt[{degree}]{{{operand('radicand')}}}" if degree else rf"\sqrt{{{operand('radicand')}}}"
-    if kind == "nary" and kids:
+ROLES = {"radical": ("degree", "radicand"), "nary": ("lower_limit", "upper_limit", "body")} | {k: roles for k, (_, roles) in TEMPLATES.items()}
+
+
+def _below(node: dict) -> list[dict]:
+    return [c for c in node["children"] if isinstance(c, dict)] if isinstance(node.get("children"), list) else []
+
+
+def _operands(node: dict) -> list[dict | str]:
+    """What a node's LaTeX is made of: for kinds with roles the first node under each role (or the role's value), for others all children."""
+    kids, out = _below(node), []
+    roles = ROLES.get(node.get("kind") or "")
+    if not roles:
+        return kids
+    for role in roles if kids else ():
+        found = next((c for c in kids if c.get("kind") == role), {})
+        out.append(next(iter(_below(found)), str(found.get("value") or "")))
+    return out
+
+
+def _filled(node: dict, parts: list[str]) -> str:
+    kind = node.get("kind") or ""
+    if kind in TEMPLATES and parts:
+        return TEMPLATES[kind][0] % tuple(parts)
+    if kind == "radical" and parts:
+        return rf"\sqrt[{parts[0]}]{{{parts[1]}}}" if parts[0] else rf"\sqrt{{{parts[1]}}}"
+    if kind == "nary" and parts:
         sign = str((node.get("formatting") or {}).get("operator") or "∑")
-        low, high = operand("lower_limit"), operand("upper_limit")
-        return OPERATORS.get(sign, sign) + (f"_{{{low}}}" if low else "") + (f"^{{{high}}}" if high else "") + f" {operand('body')}"
+        low, high, body = parts
+        return OPERATORS.get(sign, sign) + (f"_{{{low}}}" if low else "") + (f"^{{{high}}}" if high else "") + f" {body}"
     if kind == "matrix_row":
-        return " & ".join(each())
+        return " & ".join(parts)
     if kind in ("matrix", "equation_array"):
-        return r"\begin{matrix}" + r" \\ ".join(each()) + r"\end{matrix}"
-    return "".join(each()) or value
+        return r"\begin{matrix}" + r" \\ ".join(parts) + r"\end{matrix}"
+    return "".join(parts) or str(node.get("value") or "").strip().strip("$")
+
+
+def tree_latex(node: dict) -> str:
+    """LaTeX of one node, of any depth; nodes of no known kind are their children in order, or their value."""
+    stack: list[tuple[dict, Iterator, list[str]]] = [(node, iter(_operands(node)), [])]
+    while True:
+        own, waiting, parts = stack[-1]
+        step = next(waiting, None)
+        if isinstance(step, dict):
+            stack.append((step, iter(_operands(step)), []))
+        elif step is not None:
+            parts.append(step)
+        else:
+            stack.pop()
+            if not stack:
+                return _filled(own, parts)
+            stack[-1][2].append(_filled(own, parts))
 
 
 def sequences(cell: str | None) -> list[str]:

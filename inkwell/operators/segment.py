@@ -149,7 +149,7 @@ def numbering(parts_: DataFrame) -> DataFrame:
     """(doc_id, q_seq, scheme, value, label, raw, event, previous, duplicate): numbers of the questions that have one, each held against the one before it."""
     is_roman = (F.col("number.kind") == "roman") & (F.col("bits").bitwiseAND(_AT["roman_start"]) != 0)
     starts = parts_.filter(F.col("starts") & ((F.col("number.kind") == "main") | is_roman))
-    value = F.when(F.col("number.kind") == "roman", P.roman_value(F.col("number.value"))).otherwise(F.col("number.value").cast("bigint"))
+    value = F.when(F.col("number.kind") == "roman", P.roman_value(F.col("number.value"))).otherwise(F.col("number.value").try_cast("bigint"))  # null beyond 64 bits; label has every number
     transition = F.col("bits").bitwiseAND(_AT["transition"]) != 0
     rows = starts.select("doc_id", "q_seq", "section", "run", transition.alias("moved"), F.when(F.col("number.kind") == "roman", "roman").otherwise("arabic").alias("scheme"), value.alias("value"), F.col("number.value").alias("label"), "number.raw")
     order = Window.partitionBy("doc_id").orderBy("q_seq")
