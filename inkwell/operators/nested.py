@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.session import once_per
+from inkwell.session import once_per, shuffle_parts
 
 FIELDS = ("children", "runs", "inline_content")
 #: Node types; each has its own table.
@@ -90,21 +90,44 @@ def parse_deep(s: str):
 
 
 def read_cell(cell: str | None):
-    """The JSON in a cell, also where the cell is a JSON string that holds JSON; None if it is no complete JSON."""
+    """The JSON in a cell, also where the cell is a JSON string that holds JSON, however often that is so; None if it is no complete JSON."""
     value: object = cell
-    for _ in range(3):
-        if not isinstance(value, str) or not value.strip():
-            return None if isinstance(value, str) else value
+    while isinstance(value, str):
+        if not value.strip():
+            return None
         try:
             value = json.loads(value)
         except RecursionError:
             try:
                 value = parse_deep(value)
-            except (ValueError, RecursionError):
+            except ValueError:
                 return None
         except ValueError:
             return None
-    return None if isinstance(value, str) else value
+    return value
+
+
+def dumped(value) -> str:
+    """JSON of a value of any depth."""
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        pass
+    out: list[str] = []
+    stack: list = [value]  # values still to be written; tuples are text that is ready
+    while stack:
+        x = stack.pop()
+        if isinstance(x, tuple):
+            out.append(x[0])
+        elif isinstance(x, dict):
+            rest = [part for k, v in x.items() for part in ((", ",), (json.dumps(k, ensure_ascii=False) + ": ",), v)][1:]
+            stack += [("}",), *reversed(rest), ("{",)]
+        elif isinstance(x, list):
+            rest = [part for v in x for part in ((", ",), v)][1:]
+            stack += [("]",), *reversed(rest), ("[",)]
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
 
 
 def label_record(cells: dict) -> list[tuple]:
@@ -137,12 +160,7 @@ def label_record(cells: dict) -> list[tuple]:
 
 
 def _text(x) -> str | None:
-    if x is None or isinstance(x, str):
-        return x
-    try:
-        return json.dumps(x, ensure_ascii=False)
-    except RecursionError:
-        return None
+    return x if x is None or isinstance(x, str) else dumped(x)
 
 
 def _elements(holder: dict) -> Iterator:
@@ -213,9 +231,34 @@ def node_tables(nodes: DataFrame) -> dict[str, DataFrame]:
 
 
 def inside(ancestors: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each node with the innermost of the ancestors whose interval holds it; one row per node, ancestor_pre null if there is none."""
-    a = ancestors.select(F.col("block_uid").alias("__uid"), F.col("pre").alias("__pre"), F.col("post").alias("__post"), F.col("node_path").alias("__path"))
-    held = nodes.join(a, (F.col("block_uid") == F.col("__uid")) & (F.col("__pre") < F.col("pre")) & (F.col("__post") > F.col("post")), "left")
-    keys = nodes.columns
-    best = F.max(F.when(F.col("__pre").isNotNull(), F.struct("__pre", "__path"))).alias("__best")
-    return held.groupBy(*keys).agg(best).select(*keys, F.col("__best.__pre").alias("ancestor_pre"), F.col("__best.__path").alias("ancestor_path"))
+    """Each node with the innermost of the ancestors whose interval holds it; one row per node, ancestor_pre null if there is none.
+
+    One pass over both in pre-order, with a stack of the intervals that are open. Nodes of records without an id have no ancestor.
+    """
+    kinds = dict(nodes.dtypes)
+    absent = [F.lit(None).cast(t).alias(c) for c, t in kinds.items() if c not in ("block_uid", "pre", "post", "node_path")]
+    both = nodes.withColumn("__held", F.lit(True)).unionByName(ancestors.select("block_uid", "pre", "post", "node_path", *absent, F.lit(False).alias("__held")))
+    n = shuffle_parts(nodes.sparkSession)
+    ordered = both.repartition(n, "block_uid", F.when(F.col("block_uid").isNull(), F.col("pre"))).sortWithinPartitions("block_uid", "pre", F.desc("__held"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, open_ = None, []
+        for batch in batches:
+            pres, paths = [], []
+            held = batch.column("__held").to_pylist()
+            for uid, pre, post, path, is_node in zip(*(batch.column(c).to_pylist() for c in ("block_uid", "pre", "post", "node_path")), held, strict=True):
+                if uid != last or uid is None:
+                    last, open_ = uid, []
+                while open_ and open_[-1][1] < post:
+                    open_.pop()
+                if is_node:
+                    top = next((o for o in reversed(open_) if o[0] < pre), (None, None, None))
+                    pres.append(top[0])
+                    paths.append(top[2])
+                else:
+                    open_.append((pre, post, path))
+            kept = batch.filter(batch.column("__held")).drop_columns(["__held"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(pres, pa.int32()), pa.array(paths, pa.string())], names=[*kept.schema.names, "ancestor_pre", "ancestor_path"])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items())
+    return ordered.mapInArrow(run, f"{schema}, ancestor_pre int, ancestor_path string")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.operators.nested import read_cell
+from inkwell.operators.nested import dumped, read_cell
 
 TABLE = "struct<headers:array<string>,rows:array<array<string>>,cell_content:array<array<struct<text:string,source_block_id:string,inline_content:array<string>>>>,source_block_ids:array<string>>"
 
@@ -47,7 +46,7 @@ def table_of(children, block_id: str | None) -> dict:
             for i, x in enumerate(items):
                 x.setdefault("source_block_id", _id(cell))
                 x["inline_index"] = i
-            kept.append({"text": _text(cell), "source_block_id": _id(cell), "inline_content": [json.dumps(x, ensure_ascii=False) for x in items]})
+            kept.append({"text": _text(cell), "source_block_id": _id(cell), "inline_content": [dumped(x) for x in items]})
         rows.append([c["text"] for c in kept])
         rich.append(kept)
     return {"headers": rows[0] if rows else [], "rows": rows, "cell_content": rich, "source_block_ids": [block_id]}
@@ -57,8 +56,8 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         tables, items = [], []
         for kind, block_id, children, inline in zip(b["block_type"], b["block_id"], b["children"], b["inline_content"], strict=True):
-            tables.append(json.dumps(table_of(read_cell(children), block_id), ensure_ascii=False) if kind == "table" else None)
-            items.append([json.dumps(x, ensure_ascii=False) for x in inline_items({"inline_content": read_cell(inline)})])
+            tables.append(dumped(table_of(read_cell(children), block_id)) if kind == "table" else None)
+            items.append([dumped(x) for x in inline_items({"inline_content": read_cell(inline)})])
         yield pd.DataFrame({"doc_id": b["doc_id"], "block_id": b["block_id"], "ord": b["ord"], "table_json": tables, "items": items})
 
 

@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from inkwell.session import settled
 
 OPTIONS = "map<string,string>"
 MCQ_LIKE = ("mcq", "multiple_correct", "statement_based", "assertion_reason", "match_list")
-#: Matching corrections are a hand-made list; more than this many need another way.
+#: Matching corrections up to this many go to the workers as one automaton; more are joined by their first characters.
 MOST_MATCHES = 100_000
 
 
@@ -44,12 +45,12 @@ def corrected(q: DataFrame, corrections: DataFrame) -> DataFrame:
     out = q.join(by_id, live & (F.col("question_id").cast("string") == F.col("__key")), "left").drop("__key")
     out = _apply(out, "id")
     matching = corrections.filter("match is not null and match <> ''")
-    if matching.isEmpty():
+    texts = out.select("question_id", "question").filter("question <> ''").distinct()
+    known = [r["match"] for r in matching.select("match").distinct().limit(MOST_MATCHES + 1).collect()]
+    if not known:
         return out
-    if matching.count() > MOST_MATCHES:
-        raise ValueError("too many matching corrections for one broadcast; apply them in parts")
-    listed = F.broadcast(matching.select("key", "match", F.struct(*fields).alias("fix")))  # bounded above
-    hits = out.select("question_id", "question").distinct().join(listed, F.col("question").contains(F.col("match")))
+    held = _held(texts, known) if len(known) <= MOST_MATCHES else _held_by_start(texts, matching)
+    hits = held.join(matching.select("key", "match", F.struct(*fields).alias("fix")), "match")
     by_key = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
     per = hits.groupBy("question_id", F.col("question").alias("__q")).agg(F.array_sort(F.collect_list(F.struct("key", "fix")), by_key).alias("fixes"))
     last = lambda f: F.try_element_at(F.filter(F.transform("fixes", lambda x: x["fix"][f]), lambda v: v.isNotNull()), F.lit(-1))
@@ -60,6 +61,31 @@ def corrected(q: DataFrame, corrections: DataFrame) -> DataFrame:
     return _apply(out.join(per, same, "left").drop("__id", "__q"), "m")
 
 
+def _held(texts: DataFrame, matches: list[str]) -> DataFrame:
+    """(question_id, question, match): the matches that are part of each text, found in one pass with one automaton."""
+    shared = texts.sparkSession.sparkContext.broadcast(matches)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = ahocorasick.Automaton()
+        for m in shared.value:
+            automaton.add_word(m, m)
+        automaton.make_automaton()
+        for b in batches:
+            found = [sorted({m for _, m in automaton.iter(q)}) for q in b["question"]]
+            yield b.assign(match=found)[[bool(f) for f in found]].explode("match")
+
+    return texts.mapInPandas(run, f"question_id {dict(texts.dtypes)['question_id']}, question string, match string")
+
+
+def _held_by_start(texts: DataFrame, matching: DataFrame) -> DataFrame:
+    """The same for any number of matches: a join of each text's pieces of up to three characters with the matches' first characters."""
+    q = F.col("question")
+    pieces = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(q) - k + 1, F.lit(1))), lambda i, k=k: F.substring(q, i, F.lit(k))) for k in (1, 2, 3)]
+    starts = texts.select("question_id", "question", F.explode(F.array_distinct(F.concat(*pieces))).alias("start"))
+    known = matching.select("match").distinct().withColumn("start", F.substring("match", 1, 3))
+    return starts.join(known.hint("merge"), "start").filter(q.contains(F.col("match"))).select("question_id", "question", "match").distinct()
+
+
 def contexts(q: DataFrame) -> DataFrame:
     """What a provider is told of each record that failed or needs review; ids that occur again get a number behind."""
     failed = q.filter(~F.col("parsed_ok") | F.col("needs_review"))

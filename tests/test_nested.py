@@ -1,7 +1,7 @@
 import datetime as dt
 import json
 
-from inkwell.operators.nested import flatten_nodes, inside, node_tables, parse_deep, read_cell
+from inkwell.operators.nested import dumped, flatten_nodes, inside, node_tables, parse_deep, read_cell
 
 SCHEMA = "block_uid bigint, children string, runs string, inline_content string, ingested_at timestamp, parent_path string, pre int"
 T = dt.datetime(2024, 1, 1)
@@ -64,6 +64,19 @@ def test_deep_text(spark):
         assert read_cell(bad) is None
 
 
+def test_strings_in_strings_and_deep_content(spark):
+    cell = json.dumps([{"text": "in"}])
+    for _ in range(6):
+        cell = json.dumps(cell)
+    assert read_cell(cell) == [{"text": "in"}] and read_cell('"only text"') is None and read_cell('" "') is None
+    n = 20_000
+    deep = "[" + "[" * n + '"x"' + "]" * n + ', {"a": {"b": [1, null, "é"]}}]'
+    rows = flatten_nodes(spark.createDataFrame([(1, cell, deep, None, T, None, None)], SCHEMA)).collect()
+    assert {r.node_path: r.content for r in rows} == {"children[0]": "in", "runs[0]": "[" * n + '"x"' + "]" * n, "runs[1]": None}
+    value = {"a": [1, {"b": []}, [], {}, None, "é"], "c": 1.5}
+    assert dumped(parse_deep("[" * n + json.dumps(value) + "]" * n)) == "[" * n + json.dumps(value, ensure_ascii=False) + "]" * n
+
+
 def test_inside(spark):
     cell = json.dumps([{"block_type": "row", "children": [{"block_type": "cell", "inline_content": [{"kind": "g", "children": [{"kind": "text"}]}]}]}])
     nodes = flatten_nodes(spark.createDataFrame([(1, cell, '[{"text":"r"}]', None, T, None, None)], SCHEMA))
@@ -72,3 +85,12 @@ def test_inside(spark):
     assert held["children[0].children[0].inline_content[0].children[0]"] == "children[0].children[0]"
     assert held["children[0].children[0]"] == "children[0]" and held["runs[0]"] is None
     assert sum(t.count() for t in tables.values()) == nodes.count()
+
+
+def test_inside_of_wide_and_nameless_records(spark):
+    cell = json.dumps([{"block_type": "row", "children": [{"block_type": "cell"}, {"runs": ["a"]}]}] * 40)
+    nodes = flatten_nodes(spark.createDataFrame([(1, cell, None, None, T, None, None), (2, cell, None, None, T, None, None), (None, cell, None, None, T, None, None)], SCHEMA))
+    got = inside(node_tables(nodes)["block"], nodes).collect()
+    assert len(got) == nodes.count()
+    assert all(r.ancestor_path == (None if r.block_uid is None else r.parent_path or None) for r in got)
+    assert inside(nodes.limit(0), nodes.limit(0)).count() == 0

@@ -6,12 +6,14 @@ Q = "question_id bigint, section string, question string, options map<string,str
 C = "key string, match string, question string, options map<string,string>, question_type string, parsed_ok boolean"
 
 
-def test_corrections(spark):
+def test_corrections(spark, monkeypatch):
     q = spark.createDataFrame([(1, None, "What is 41.?", {"A": "x"}, "mcq", False, False), (2, None, "Other", None, None, True, False), (3, None, None, None, None, True, False), (41, None, "z", {}, "open", True, False)], Q)
     c = spark.createDataFrame([("1", None, "Renamed stem", {"B": "y"}, None, True), ("m1", "stem", None, {"A": "new"}, None, None), ("m2", "named", None, {"A": "later"}, "mcq2", None), ("m3", "41.", "wrong", None, None, None)], C)
     out = {r.question_id: r for r in repair.corrected(q, c).collect()}
     assert out[1].question == "Renamed stem" and out[1].options == {"A": "later", "B": "y"} and out[1].parsed_ok and out[1].question_type == "mcq2"
     assert out[2].question == "Other" and out[3].question is None and out[41].question == "z" and len(out) == 4
+    monkeypatch.setattr(repair, "MOST_MATCHES", 0)  # the way for lists of any length
+    assert {r.question_id: r for r in repair.corrected(q, c).collect()} == out
     assert repair.corrected(q, c.limit(0)).count() == 4 and repair.corrected(q.limit(0), c).count() == 0
 
 
