@@ -80,8 +80,8 @@ def _held(texts: DataFrame, matches: list[str]) -> DataFrame:
 def _held_by_start(texts: DataFrame, matching: DataFrame) -> DataFrame:
     """The same for any number of matches: a join of each text's pieces of up to three characters with the matches' first characters."""
     q = F.col("question")
-    pieces = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(q) - k + 1, F.lit(1))), lambda i, k=k: F.substring(q, i, F.lit(k))) for k in (1, 2, 3)]
-    starts = texts.select("question_id", "question", F.explode(F.array_distinct(F.concat(*pieces))).alias("start"))
+    pieces = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(q) - k + 1, F.lit(1))), lambda i: F.substring(q, i, F.lit(k)))
+    starts = texts.select("question_id", "question", F.explode(F.array_distinct(F.concat(*map(pieces, (1, 2, 3))))).alias("start"))
     known = matching.select("match").distinct().withColumn("start", F.substring("match", 1, 3))
     return starts.join(known.hint("merge"), "start").filter(q.contains(F.col("match"))).select("question_id", "question", "match").distinct()
 
