@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.joins import merged, small
+from inkwell.llm.joins import merged, spread_join
 from inkwell.llm.markup import clean
 from inkwell.llm.textform import consistent
 from inkwell.session import checkpointed, once_per
@@ -150,7 +150,7 @@ def candidates(reps: DataFrame, likeness: float, rows: int = ROWS, bands: int =
 
     if hot.isEmpty():
         return compared(entries.groupBy("bucket").agg(F.collect_list(row).alias("xs")), F.lit(True)).dropDuplicates()
-    sized = spread_join(entries, hot, "bucket")
+    sized = spread_join(entries, hot, "bucket", ["id"])
     cold = sized.filter("many is null").groupBy("bucket").agg(F.collect_list(row).alias("xs"))
     blocks = F.ceil(F.col("many") / CELL).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
@@ -161,14 +161,6 @@ def candidates(reps: DataFrame, likeness: float, rows: int = ROWS, bands: int =
     return compared(cold, F.lit(True)).unionByName(compared(met, across)).dropDuplicates()
 
 
-def spread_join(entries: DataFrame, hot: DataFrame, key: str, salts: int = 16) -> DataFrame:
-    """entries with the columns of hot, null where there is none. hot has a row per key; where it is not small, entries of one key go to several tasks by a salt."""
-    if small(hot):
-        return entries.join(F.broadcast(hot), key, "left")
-    salted = hot.withColumn("salt", F.explode(F.array(*map(F.lit, range(salts)))))
-    return merged(entries.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")), salted, [key, "salt"], "left").drop("salt")
-
-
 def verified(pairs: DataFrame, reps: DataFrame, likeness: float) -> DataFrame:
     """(a, b, likeness): pairs whose exact Jaccard likeness reaches the threshold."""
     side = lambda s: reps.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("features").alias(f"f_{s}"))

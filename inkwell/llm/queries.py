@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import leaks, lines, markup, neardup, spans, textform, tokens
-from inkwell.session import table
+from inkwell.session import checkpointed, table
 
 
 def _sites(spark: SparkSession, d: str) -> DataFrame:
@@ -34,8 +34,8 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Field values with markup."""
-    return markup.pages(_values(spark, d)).select("table_name", "record_id", "field").dropDuplicates()
+    """Field values with markup: those whose tree, aligned with the wrapper of its class, has any markup node, of the wrapper's or of its own."""
+    return markup.marked(_values(spark, d)).filter("n_markup > 0").select("table_name", "record_id", "field").dropDuplicates()
 
 
 def p3_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -45,9 +45,7 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_wrappers(spark: SparkSession, d: str) -> DataFrame:
     """The wrapper of each class of pages with its constant leaves."""
-    found = markup.pages(_values(spark, d).dropDuplicates())
-    induced = markup.wrappers(found)
-    return induced.join(markup.templates(markup.slots(found, induced)), "class_key", "left")
+    return markup.learned(checkpointed(markup.pages(_values(spark, d))))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
