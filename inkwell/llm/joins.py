@@ -31,9 +31,9 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return many <= rows and much <= size
 
 
-def spread_join(entries: DataFrame, found: DataFrame, key: str, by: list[str], salts: int = 16) -> DataFrame:
+def spread_join(entries: DataFrame, found: DataFrame, key: list[str], by: list[str], salts: int = 16) -> DataFrame:
     """entries with the columns of found, null where there is none. found has a row per key, in a table; where it is not small, entries of one key go to several tasks by a salt of the columns by."""
     if small(found):
         return entries.join(F.broadcast(found), key, "left")
     salted = found.withColumn("__salt", F.explode(F.array(*map(F.lit, range(salts)))))
-    return merged(entries.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")), salted, [key, "__salt"], "left").drop("__salt")
+    return merged(entries.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")), salted, [*key, "__salt"], "left").drop("__salt")

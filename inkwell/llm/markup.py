@@ -648,7 +648,7 @@ def slots(found: DataFrame, induced: DataFrame) -> DataFrame:
                 rows += [(key, w, text) for _, w, text in aligned_leaves(page, match(page, read_skeleton(shape))[1]) if text]
             yield pd.DataFrame(rows, columns=["class_key", "slot", "text"])
 
-    joined = spread_join(found.filter("n_markup > 0"), induced, "class_key", ["record_id", "value"]).select("class_key", "value", "wrapper")
+    joined = spread_join(found.filter("n_markup > 0"), induced, ["class_key"], ["record_id", "value"]).select("class_key", "value", "wrapper")
     return joined.mapInPandas(align, "class_key string, slot string, text string").groupBy("class_key", "slot", "text").agg(F.count("*").alias("n"))
 
 
@@ -695,7 +695,7 @@ def aligned(found: DataFrame) -> DataFrame:
             made = pd.DataFrame(rows, columns=["n_markup", "n_template", "clean_text", "structure", "template_text"], index=b.index)
             yield pd.concat([b[["table_name", "record_id", "field"]], made], axis=1)
 
-    with_wrapper = spread_join(found.filter("n_markup > 0"), learned(found), "class_key", ["record_id", "value"])
+    with_wrapper = spread_join(found.filter("n_markup > 0"), learned(found), ["class_key"], ["record_id", "value"])
     return with_wrapper.select("table_name", "record_id", "field", "value", "wrapper", "template").mapInPandas(write, _CLEANED)
 
 

@@ -150,7 +150,7 @@ def candidates(reps: DataFrame, likeness: float, rows: int = ROWS, bands: int =
 
     if hot.isEmpty():
         return compared(entries.groupBy("bucket").agg(F.collect_list(row).alias("xs")), F.lit(True)).dropDuplicates()
-    sized = spread_join(entries, hot, "bucket", ["id"])
+    sized = spread_join(entries, hot, ["bucket"], ["id"])
     cold = sized.filter("many is null").groupBy("bucket").agg(F.collect_list(row).alias("xs"))
     blocks = F.ceil(F.col("many") / CELL).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")

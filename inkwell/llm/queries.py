@@ -61,8 +61,8 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Lines to be removed: repeated over a site's files or over a file's pages."""
-    return lines.repeated(*lines.lines_of(table(spark, d, "document_blocks"))).select("block_uid", F.col("line_no").cast("bigint").alias("line_no"))
+    """Lines to be removed: repeated over a site's files or over a file's pages. The case counts files, so clusters count with their sizes here."""
+    return lines.repeated(*lines.lines_of(table(spark, d, "document_blocks")), over="files").select("block_uid", F.col("line_no").cast("bigint").alias("line_no"))
 
 
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +72,7 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_clean(spark: SparkSession, d: str) -> DataFrame:
-    """Every block's text without the repeated lines."""
+    """Every block's text without the lines repeated over a site's clusters of equal files and their dates, or over a file's pages."""
     blocks = table(spark, d, "document_blocks")
     return lines.without(blocks, lines.repeated(*lines.lines_of(blocks)))
 

@@ -1,8 +1,8 @@
 """Encoding of a corpus with a public byte-level BPE vocabulary through a table of distinct words.
 
-Documents are spread over blocks of bounded size. Each block gives its distinct words; each distinct word of the corpus is
-encoded once; every block gets the ids of its own words back and puts them in the places of its texts. What is shuffled
-beside the texts is the words per block, not the words per occurrence.
+Every text is split once. The texts of a task are taken in blocks of bounded size, and a text becomes a list of positions in the list of
+its block's words. Each distinct word of the corpus is encoded once; its ids come back to the blocks that hold it, by a join, and to the
+places in the texts by position. What is shuffled are the words per block and the positions, never the texts.
 """
 
 from __future__ import annotations
@@ -10,22 +10,27 @@ from __future__ import annotations
 import base64
 import functools
 import os
-from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.session import checkpointed, plan_bytes, shuffle_parts
+from inkwell.llm.joins import merged
+from inkwell.session import checkpointed, shuffle_parts
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's makers split text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPLIT = regex.compile(PATTERN)
-BLOCK_BYTES = 8 << 20
+#: Characters of a block's texts; a longer text is a block of its own.
+BLOCK_CHARS = 1 << 20
+#: Blocks in one partition where their ids are put in: some 20 MB, whatever the size of the corpus.
+BLOCKS_PER_PART = 4
 
 
 def split(text: str) -> list[str]:
@@ -57,58 +62,85 @@ def encode_words(words: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return words.mapInPandas(run, "word string, ids array<int>")
 
 
-def blocked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(blk, doc_id, text): documents spread evenly over blocks of about BLOCK_BYTES of the files."""
-    n = shuffle_parts(docs.sparkSession, plan_bytes(docs.select(key, text)), BLOCK_BYTES)
-    return docs.select(F.pmod(F.xxhash64(key, text), F.lit(n)).cast("int").alias("blk"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
+class _Block:
+    """The texts of one block: each as positions in the list of the block's words."""
 
+    def __init__(self, blk: int):
+        self.blk, self.place, self.chars = blk, {}, 0
+        self.keys: list = []
+        self.at: list[np.ndarray] = []
 
-def block_words(spread: DataFrame) -> DataFrame:
-    """(blk, word): the distinct words of each block."""
+    def add(self, key, text: str | None) -> None:
+        place = self.place
+        self.keys.append(key)
+        self.at.append(np.fromiter((place.setdefault(w, len(place)) for w in _SPLIT.findall(text)) if text else (), np.uint32))
+        self.chars += len(text or "")
+
+    def rows(self, kind: pa.DataType) -> pa.RecordBatch:
+        """A row for each text, and one with the words; positions take two bytes where that is enough."""
+        n, width = len(self.keys), np.uint16 if len(self.place) <= 1 << 16 else np.uint32
+        columns = [
+            pa.array([self.blk] * (n + 1), pa.int64()),
+            pa.array([*self.keys, None], kind),
+            pa.array([*(a.astype(width).tobytes() for a in self.at), None], pa.binary()),
+            pa.array([width is np.uint32] * (n + 1), pa.bool_()),
+            pa.array([None] * n + [list(self.place)], pa.list_(pa.string())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["blk", "doc_id", "at", "wide", "words"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[str]] = {}
-        held = 0
 
-        def out() -> pa.RecordBatch:
-            blks = [k for k, ws in seen.items() for _ in ws]
-            return pa.RecordBatch.from_arrays([pa.array(blks, pa.int32()), pa.array([w for ws in seen.values() for w in ws], pa.string())], names=["blk", "word"])
+def placed_words(docs: DataFrame, key: str, text: str, chars: int = BLOCK_CHARS) -> DataFrame:
+    """(blk, doc_id, at, wide, words): each text as positions, and a row with the words of each block, in which at is null."""
+    kind = docs.schema[key].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        block = _Block(number)
         for b in batches:
-            for blk, text in zip(b.column("blk").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if text:
-                    own = seen.setdefault(blk, set())
-                    before = len(own)
-                    own.update(split(text))
-                    held += len(own) - before
-            if held > 300_000:  # bounds the task's memory; repeats between emissions are dropped below
-                yield out()
-                seen, held = {}, 0
-        if held:
-            yield out()
-
-    return spread.select("blk", "text").mapInArrow(run, "blk int, word string").dropDuplicates()
-
-
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if block.keys and block.chars + len(t or "") > chars:
+                    yield block.rows(b.schema.field(0).type)
+                    number += 1
+                    block = _Block(number)
+                block.add(k, t)
+            last = b.schema.field(0).type
+        if block.keys:
+            yield block.rows(last)
+
+    return docs.select(key, text).mapInArrow(run, f"blk bigint, doc_id {kind}, at binary, wide boolean, words array<string>")
+
+
+def _flat(held: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists, and the length of each list."""
+    lists = held.combine_chunks() if isinstance(held, pa.ChunkedArray) else held
+    return lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+
+
+def _put_back(texts: pa.Table, words: pa.Table) -> pa.Table:
+    """The ids of each text of a block: those of its words, by position."""
+    words = words.sort_by("pos")
+    ids, lengths = _flat(words.column("ids"))
+    begins = np.cumsum(lengths) - lengths
+    at = [np.frombuffer(a, np.uint32 if w else np.uint16) for a, w in zip(texts.column("at").to_pylist(), texts.column("wide").to_pylist(), strict=True)]
+    every = np.concatenate(at).astype(np.int64) if at else np.empty(0, np.int64)
+    n = lengths[every]
+    stops = np.cumsum(n)
+    flat = ids[np.arange(stops[-1] if len(stops) else 0) + np.repeat(begins[every] - (stops - n), n)] if len(every) else np.empty(0, np.int32)
+    ends = np.concatenate([[0], stops])[np.cumsum([0, *map(len, at)])]
+    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))
+    return pa.table([texts.column("doc_id"), lists], names=["doc_id", "ids"])
+
+
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, ids): the ids of each row's text. Null and empty texts have an empty list; repeated and null keys each keep their row; other columns are ignored."""
-    spread = blocked(docs, key, text)
-    per_block = checkpointed(block_words(spread))  # read twice; without it every text would be split once more
-    known = per_block.join(encode_words(per_block.select("word").distinct(), vocabulary), "word").select("blk", "word", "ids")
-
-    def place(texts: pa.Table, words: pa.Table) -> pa.Table:
-        table = {w: array("i", ids) for w, ids in zip(words.column("word").to_pylist(), words.column("ids").to_pylist(), strict=True)}
-        flat, ends = array("i"), array("i", [0])
-        for t in texts.column("text").to_pylist():
-            if t:
-                for w in _SPLIT.findall(t):
-                    flat.extend(table[w])
-            ends.append(len(flat))
-        ids = pa.ListArray.from_arrays(pa.array(memoryview(ends), pa.int32()), pa.array(memoryview(flat), pa.int32()))
-        return pa.table([texts.column("doc_id"), ids], names=["doc_id", "ids"])
-
+    cut = checkpointed(placed_words(docs, key, text, chars))
+    per_block = cut.filter("words is not null").select("blk", "words")
+    n = shuffle_parts(docs.sparkSession, per_block.count(), BLOCKS_PER_PART)
+    each = per_block.select("blk", F.posexplode("words").alias("pos", "word"))
+    known = merged(each, encode_words(each.select("word").distinct(), vocabulary), "word").select(F.col("blk").alias("of_blk"), "pos", "ids")
+    texts = cut.filter("at is not null").select("blk", "doc_id", "at", "wide").repartition(n, "blk")
     kind = docs.schema[key].dataType.simpleString()
-    return spread.groupBy("blk").cogroup(known.groupBy("blk")).applyInArrow(place, f"doc_id {kind}, ids array<int>")
+    return texts.groupBy("blk").cogroup(known.repartition(n, "of_blk").groupBy("of_blk")).applyInArrow(_put_back, f"doc_id {kind}, ids array<int>")
 
 
 def pieces(spark, vocabulary: str = VOCABULARY) -> DataFrame:

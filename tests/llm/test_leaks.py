@@ -1,4 +1,5 @@
 import random
+import time
 
 from inkwell.llm.leaks import WINDOW, Items, distance, leaks, normal_words, piece_words
 
@@ -36,7 +37,10 @@ def test_against_brute(spark):
         fill = [rng.choice(vocab) for _ in range(rng.randint(0, 20))]
         docs.append((n := n + 1, (" ".join(fill) + ", " + "; ".join(part).upper() + ". " + " ".join(fill)), "c", 1))
     docs += [(9001, None, "", 0), (9002, "", "", 0), (None, items[3][1], "", 0)]
-    got = leaks(spark.createDataFrame(docs, "doc_id bigint, text string, item_id string, run int"), spark.createDataFrame([*items, items[0], (None, "a", "", 0), ("e99", None, "", 0)], "item_id string, question string, text string, edits int")).collect()
+    corpus = spark.createDataFrame(docs, "doc_id bigint, text string, item_id string, run int")
+    asked = spark.createDataFrame([*items, items[0], (None, "a", "", 0), ("e99", None, "", 0)], "item_id string, question string, text string, edits int")
+    got = leaks(corpus, asked).collect()
+    assert sorted(map(str, leaks(corpus, asked, most=3).collect())) == sorted(map(str, got))  # more items than one automaton holds: by the join
     exact, near = set(), set()
     for d, t, *_ in docs:
         w = normal_words(t or "")
@@ -69,3 +73,12 @@ def test_lost_space_at_every_gap():
         for gap in range(1, WINDOW):
             text = " ".join(["other", "words", *w[: gap - 1], w[gap - 1] + w[gap], *w[gap + 1 :], "and", "more"])
             assert items.search(text) == {"a": (max(gap - 1, WINDOW - gap - 1), 1)}, (start, gap)
+
+
+def test_long_text_with_many_hits():
+    item = [f"w{k}" for k in range(20)]
+    items = Items([("a", " ".join(item))])
+    text = (" ".join(item[:5]) + " x ") * 40_000 + " ".join(item)  # 200 000 words, a piece in every sixth
+    begin = time.perf_counter()
+    assert items.search(text) == {"a": (20, 0)}
+    assert time.perf_counter() - begin < 4

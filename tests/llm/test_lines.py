@@ -3,6 +3,7 @@ import random
 import re
 from collections import defaultdict
 
+from inkwell.llm import joins
 from inkwell.llm.lines import line_counts, lines_of, repeated, without
 from inkwell.llm.textform import consistent
 
@@ -45,7 +46,7 @@ def test_against_brute(spark):
             rows.append((uid, rng.choice([f, f, f, None]), rng.choice(["s1", None]) if f % 7 == 0 else f"s{f % 3}", rng.choice([None, 1, 2, 3, 4, 5, 6]), "\n".join(lines), T, "clash", 1))
     rows += [rows[0][:5] + (T.replace(day=3), "x", 2), (None, 1, "s1", 1, "Page 9", T, None, None), (None, 1, "s1", 1, "Page 9", T, None, None), (5000, 2, "s2", None, None, None, None, None), (5001, 2, "s2", 9, "", T, None, None)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = repeated(*lines_of(df))
+    got = repeated(*lines_of(df), over="files")
     assert {tuple(r) for r in got.collect()} == brute(rows)
     text = {r.block_uid: r.text for r in without(df, got).collect()}
     assert text[5000] is None and text[5001] == ""
@@ -58,8 +59,23 @@ def test_against_brute(spark):
 def test_clusters(spark):
     rows = [(i, i, "s", None, "same\nlines", T, "", 0) for i in range(6)] + [(9, 9, "s", None, "same", T.replace(day=2), "", 0)]
     over, _ = line_counts(*lines_of(spark.createDataFrame(rows, SCHEMA)))
-    got = sorted((r.n_files, r.n_clusters, r.n_days, r.site_files, r.site_clusters) for r in over.collect())
-    assert got == [(6, 1, 1, 7, 2), (7, 2, 2, 7, 2)]
+    got = sorted((r.n_files, r.n_clusters, r.n_days, r.site_files, r.site_clusters, r.site_days) for r in over.collect())
+    assert got == [(6, 1, 1, 7, 2, 2), (7, 2, 2, 7, 2, 2)]
+
+
+def test_republished_article_stays_and_notice_goes(spark, monkeypatch):
+    """Ten copies of an article on ten days are one cluster; the notice below twenty different texts is boilerplate. A line of one day's edition is none."""
+    article = "Found again\nthe same article\nNotice 1"
+    rows = [(i, i, "s", None, article, T.replace(day=1 + i), "", 0) for i in range(10)]
+    rows += [(100 + i, 100 + i, "s", None, f"own text {chr(97 + i)}\nNotice {i}\n" + ("Edition of the day" if i < 8 else "no edition " + chr(97 + i)), T.replace(day=1 if i < 8 else 2 + i), "", 0) for i in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    text = {r.block_uid: r.text for r in without(df, repeated(*lines_of(df))).collect()}
+    assert all(text[i] == "Found again\nthe same article" for i in range(10))
+    assert text[100] == "own text a\nEdition of the day" and text[115] == "own text p\nno edition p"
+    by_files = {r.block_uid: r.text for r in without(df, repeated(*lines_of(df), over="files")).collect()}
+    assert by_files[0] == "" and by_files[100] == "own text a"  # where files are counted, copies are repeated lines
+    monkeypatch.setattr(joins, "small", lambda *_: False)
+    assert {r.block_uid: r.text for r in without(df, repeated(*lines_of(df))).collect()} == text
 
 
 def test_empty(spark):
