@@ -1,29 +1,45 @@
 """Long spans that stand verbatim in more than one text, by suffix automata of reference shards.
 
 Anchors tell where a text may share anything: of the hashes of all K-grams in each stretch of LENGTH characters the least is
-an anchor, so two texts with a common span of LENGTH characters have an anchor inside it in common. Only stretches around anchors that
-occur in two texts can hold such spans (zones). The zones of a text are a reference shard; its suffix automaton goes where
-the zones of the texts that share an anchor with it are, those are streamed through it, and every maximal stretch whose matching
-statistic reaches LENGTH is a shared span. Texts that are equal are one class, of which only the smallest id is compared.
+an anchor, so two texts with a common span of LENGTH characters have an anchor inside it in common. Texts that are equal are one
+class, of which only the smallest id is compared.
+
+How much of each text is shared (coverage, removed): the stretch around an anchor that holds every span of LENGTH characters with the
+anchor in it is its context. Equal contexts are one, known with the smallest and the largest id. The others go to shards of
+at most about SHARD characters, all contexts of one anchor to the same; in a shard they are read in the order of ids, each against the suffix
+automaton of those before it and then added, and once more from the end. So no text is ever paired with another, and what
+all texts share costs each of them once.
+
+Which texts share a span (pairs): the stretches around shared anchors (zones) are cut into shards of at most SHARD characters, and
+the zones of every text with a common anchor are streamed through the automaton of a shard. The pairs are the result, so their number is its size.
+
+An automaton takes 42 bytes for each character: arrays of states and of edges, a dictionary for the root only.
 """
 
 from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.joins import merged, spread_join
 from inkwell.llm.neardup import expanded
-from inkwell.session import checkpointed, plan_bytes, shuffle_parts
+from inkwell.session import checkpointed, shuffle_parts
 
 LENGTH = 250
 K = 64
 CELL = 256
+#: Texts streamed through one copy of an automaton; more are spread over several.
 PARTNERS = 64
+#: Characters of a reference shard: 42 MB as an automaton.
+SHARD = 1 << 20
 
 
 def codes(text: str) -> np.ndarray:
@@ -79,70 +95,92 @@ def zones(positions: np.ndarray, n: int, length: int = LENGTH, k: int = K) -> li
 
 
 class SuffixAutomaton:
-    """All substrings of the given texts; built character by character, a fresh start for each text."""
+    """All substrings of the given texts; built character by character, a fresh start for each text.
 
-    def __init__(self, texts: list[str]):
-        self.next: list[dict[str, int]] = [{}]
-        self.link = array("i", [-1])
-        self.length = array("i", [0])
-        for t in texts:
-            self._add(t)
+    Edges are linked lists in arrays (character, target, next edge of the same state), but for the root, whose many edges are a dictionary.
+    """
 
-    def _add(self, text: str) -> None:
-        nxt, link, length = self.next, self.link, self.length
+    def __init__(self, texts: list[str] = ()):  # type: ignore[assignment]
+        self.root: dict[int, int] = {}
+        self.link, self.length, self.head = array("i", [-1]), array("i", [0]), array("i", [-1])
+        self.char, self.to, self.after = array("I"), array("i"), array("i")
+        for t in texts:
+            self.add(t)
+
+    def _edge(self, state: int, c: int) -> int:
+        """The edge of a state other than the root, or -1."""
+        char, after, e = self.char, self.after, self.head[state]
+        while e >= 0 and char[e] != c:
+            e = after[e]
+        return e
+
+    def _next(self, state: int, c: int) -> int:
+        if state == 0:
+            return self.root.get(c, -1)
+        e = self._edge(state, c)
+        return self.to[e] if e >= 0 else -1
+
+    def _join(self, state: int, c: int, target: int) -> None:
+        self.char.append(c)
+        self.to.append(target)
+        self.after.append(self.head[state])
+        self.head[state] = len(self.char) - 1
+
+    def _state(self, length: int, link: int) -> int:
+        self.length.append(length)
+        self.link.append(link)
+        self.head.append(-1)
+        return len(self.length) - 1
+
+    def add(self, text: str) -> None:
+        link, length = self.link, self.length
         last = 0
-        for c in text:
-            known = nxt[last].get(c)
-            if known is not None and length[known] == length[last] + 1:
-                last = known  # this text's prefix is there already
-                continue
-            if known is not None:
-                last = self._split(last, c, known)
+        for c in map(ord, text):
+            known = self._next(last, c)
+            if known >= 0:  # this text's prefix is there already
+                last = known if length[known] == length[last] + 1 else self._split(last, c, known)
                 continue
-            new = len(nxt)
-            nxt.append({})
-            length.append(length[last] + 1)
-            link.append(0)
+            new = self._state(length[last] + 1, 0)
             p = last
-            while p >= 0 and c not in nxt[p]:
-                nxt[p][c] = new
+            while p > 0 and self._edge(p, c) < 0:
+                self._join(p, c, new)
                 p = link[p]
-            if p >= 0:
-                q = nxt[p][c]
+            q = self._next(p, c)
+            if q < 0:
+                self.root[c] = new
+            else:
                 link[new] = q if length[p] + 1 == length[q] else self._split(p, c, q)
             last = new
 
-    def _split(self, p: int, c: str, q: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        clone = len(nxt)
-        nxt.append(nxt[q].copy())
-        length.append(length[p] + 1)
-        link.append(link[q])
-        link[q] = clone
-        while p >= 0 and nxt[p].get(c) == q:
-            nxt[p][c] = clone
-            p = link[p]
+    def _split(self, p: int, c: int, q: int) -> int:
+        """A state for the shorter strings of q, which takes q's place behind p and p's suffixes."""
+        clone = self._state(self.length[p] + 1, self.link[q])
+        e = self.head[q]
+        while e >= 0:
+            self._join(clone, self.char[e], self.to[e])
+            e = self.after[e]
+        self.link[q] = clone
+        while p > 0 and (e := self._edge(p, c)) >= 0 and self.to[e] == q:
+            self.to[e] = clone
+            p = self.link[p]
+        if p == 0 and self.root.get(c) == q:
+            self.root[c] = clone
         return clone
 
     def spans(self, text: str, least: int) -> list[tuple[int, int]]:
         """Maximal stretches (from, to) of the text, of at least that length, that are substrings; none lies inside another."""
-        nxt, link, length = self.next, self.link, self.length
+        link, length = self.link, self.length
         out: list[tuple[int, int]] = []
         state = run = 0
-        for i, c in enumerate(text):
-            there = nxt[state].get(c)
-            if there is None:
-                if run >= least:
-                    out.append((i - run, i))
-                while there is None and state > 0:
-                    state = link[state]
-                    there = nxt[state].get(c)
-                    run = length[state]
-                if there is None:
-                    state = run = 0
-                    continue
-            state = there
-            run += 1
+        for i, c in enumerate(map(ord, text)):
+            there = self._next(state, c)
+            if there < 0 and run >= least:
+                out.append((i - run, i))
+            while there < 0 and state > 0:
+                state = link[state]
+                run = length[state]
+                there = self._next(state, c)
+            state, run = (there, run + 1) if there >= 0 else (0, 0)
         if run >= least:
             out.append((len(text) - run, len(text)))
         return out
@@ -152,11 +190,14 @@ def classes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, rep): texts of at least length characters that are equal are one class."""
     keyed = docs.filter(F.length("text") >= length).select(F.col("doc_id").alias("id"), F.unhex(F.md5("text")).alias("same"), F.length("text").alias("n"))
     reps = keyed.groupBy("same", "n").agg(F.min("id").alias("rep"))
-    return keyed.join(reps, ["same", "n"]).select("id", "rep")
+    return merged(keyed, reps, ["same", "n"]).select("id", "rep")
 
 
 def shared_anchors(docs: DataFrame, members: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(anchor, id, positions, many): anchors that occur in more than one class, with the representatives that hold them."""
+    """(anchor, id, positions, many): anchors that occur in more than one class, with the representatives that hold them and their number.
+
+    Anchors are counted by a partial aggregate; rows of an anchor that many hold are spread by a salt for the join.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -171,8 +212,9 @@ def shared_anchors(docs: DataFrame, members: DataFrame, length: int = LENGTH) ->
 
     found = docs.filter(F.length("text") >= length).select("doc_id", "text").mapInPandas(read, "id bigint, anchor bigint, at int")
     several = members.filter("id <> rep").select("id")
-    found = found.join(several, "id", "left_anti").groupBy("anchor", "id").agg(F.collect_list("at").alias("positions"))
-    return found.withColumn("many", F.count("*").over(Window.partitionBy("anchor"))).filter("many > 1")
+    found = checkpointed(merged(found, several, "id", "left_anti").groupBy("anchor", "id").agg(F.collect_list("at").alias("positions")))
+    counted = checkpointed(found.groupBy("anchor").agg(F.count("*").alias("many")).filter("many > 1"))
+    return spread_join(found, counted, ["anchor"], ["id"]).filter("many is not null")
 
 
 def partners(shared: DataFrame) -> DataFrame:
@@ -187,95 +229,228 @@ def partners(shared: DataFrame) -> DataFrame:
     return pairs.filter((F.col("x.id") < F.col("y.id")) & across).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).dropDuplicates()
 
 
-def zone_texts(docs: DataFrame, shared: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(id, froms, pieces): the zones of each representative with any shared anchor."""
+def shards(zones_: list[tuple[int, int]], text: str, length: int, most: int) -> list[list[tuple[int, str]]]:
+    """The zones of a text as (from, stretch) in shards of at most so many characters; what is cut overlaps, so that every span of length characters is in one of them whole."""
+    out: list[list[tuple[int, str]]] = [[]]
+    room = most
+    for a, b in zones_:
+        while True:
+            end = min(b, a + max(room, length))
+            out[-1].append((a, text[a:end]))
+            room -= end - a
+            if room <= 0:
+                out.append([])
+                room = most
+            if end == b:
+                break
+            a = end - length + 1
+    return [x for x in out if x]
+
+
+def zone_texts(docs: DataFrame, shared: DataFrame, length: int = LENGTH, most: int = SHARD) -> DataFrame:
+    """(id, shard, froms, pieces): the zones of each representative with any shared anchor, in shards."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            cuts = [(zones(np.asarray(p), len(t), length), t) for p, t in zip(b["positions"], b["text"], strict=True)]
-            yield pd.DataFrame({"id": b["id"], "froms": [[a for a, _ in z] for z, _ in cuts], "pieces": [[t[a:e] for a, e in z] for z, t in cuts]})
+            rows = []
+            for i, p, t in zip(b["id"], b["positions"], b["text"], strict=True):
+                for n, held in enumerate(shards(zones(np.asarray(p), len(t), length), t, length, most)):
+                    rows.append((i, n, [a for a, _ in held], [x for _, x in held]))
+            yield pd.DataFrame(rows, columns=["id", "shard", "froms", "pieces"])
+
+    return _with_positions(docs, shared).mapInPandas(cut, "id bigint, shard int, froms array<int>, pieces array<string>")
 
+
+def _with_positions(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(id, text, positions): representatives with the places of their shared anchors."""
     at = shared.groupBy("id").agg(F.flatten(F.collect_list("positions")).alias("positions"))
-    joined = docs.select(F.col("doc_id").alias("id"), "text").join(at, "id")
-    return joined.mapInPandas(cut, "id bigint, froms array<int>, pieces array<string>")
+    return merged(docs.select(F.col("doc_id").alias("id"), "text"), at, "id")
+
 
+def _known(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text").filter("text is not null and doc_id is not null")
 
-def shared_spans(docs: DataFrame, length: int = LENGTH, both: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Spans (a, b, spans array<struct<from, to>>) of b that stand in a, between representatives, and members (id, rep).
 
-    a < b, or both ways if asked. docs needs doc_id (unique) and text; other columns are ignored. Null texts and texts
-    shorter than length share nothing. Positions are code points.
+def linked(docs: DataFrame, length: int = LENGTH, most: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b), a < b, between representatives that share a span of at least length characters, and members (id, rep).
+
+    docs needs doc_id (unique) and text; other columns are ignored. Null texts and texts shorter than length share nothing.
     """
-    docs = docs.select("doc_id", "text").filter("text is not null and doc_id is not null")
+    docs = _known(docs)
     members = checkpointed(classes(docs, length))
     shared = checkpointed(shared_anchors(docs, members, length))
-    pieces = checkpointed(zone_texts(docs, shared, length))
-    pairs = partners(shared)
-    if both:
-        pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    crowd = F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / PARTNERS)
-    pairs = pairs.withColumn("crowd", crowd)  # a reference with many partners is streamed against in parts
-    side = lambda s: pieces.select(F.col("id").alias(s), F.col("froms").alias(f"froms_{s}"), F.col("pieces").alias(f"pieces_{s}"))
-    met = pairs.join(side("b"), "b").join(side("a").drop("froms_a"), "a")
-    parts = shuffle_parts(docs.sparkSession, plan_bytes(docs))
-    met = met.repartition(parts, "a", "crowd").sortWithinPartitions("a", "crowd")
+    pieces = checkpointed(zone_texts(docs, shared, length, most))
+    pairs = checkpointed(partners(shared))
+    crowds = checkpointed(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("crowds")).filter("crowds > 1"))
+    pairs = spread_join(pairs, crowds, ["a"], ["b"]).select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("crowds", F.lit(1))).alias("crowd"))
+    met = merged(pairs, pieces.select(F.col("id").alias("b"), F.col("pieces").alias("streamed")), "b")
+    met = merged(met, pieces.select(F.col("id").alias("a"), "shard", F.col("pieces").alias("held")), "a")
+    met = met.repartition(shuffle_parts(docs.sparkSession), "a", "shard", "crowd").sortWithinPartitions("a", "shard", "crowd")
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, automaton = None, None
+        last, automaton = None, SuffixAutomaton()
         for batch in batches:
             rows = []
-            for a, b, shard, froms, texts in zip(batch["a"], batch["b"], batch["pieces_a"], batch["froms_b"], batch["pieces_b"], strict=True):
-                if a != last:
-                    last, automaton = a, SuffixAutomaton(list(shard))
-                found = [{"from": int(at + s), "to": int(at + e)} for at, t in zip(froms, texts, strict=True) for s, e in automaton.spans(t, length)]
-                if found:
-                    rows.append((a, b, found))
-            yield pd.DataFrame(rows, columns=["a", "b", "spans"])
+            for a, shard, b, held, streamed in zip(batch["a"], batch["shard"], batch["b"], batch["held"], batch["streamed"], strict=True):
+                if (a, shard) != last:
+                    last, automaton = (a, shard), SuffixAutomaton(list(held))
+                if any(automaton.spans(t, length) for t in streamed):
+                    rows.append((a, b))
+            yield pd.DataFrame(rows, columns=["a", "b"])
 
-    return met.mapInPandas(stream, "a bigint, b bigint, spans array<struct<from:int,to:int>>"), members
+    return met.mapInPandas(stream, "a bigint, b bigint").dropDuplicates(), members
 
 
 def pairs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(a, b), a < b: texts with a common span of at least length characters."""
-    spans, members = shared_spans(docs, length)
-    return expanded(spans.select("a", "b"), members)
+    return expanded(*linked(docs, length))
+
 
+def contexts(docs: DataFrame, shared: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+    """(anchor, same, id, froms, context): the stretch around each shared anchor, once for each text however often it stands there; same is its digest."""
 
-def _union(spans):
-    """The total length of a sorted array of spans, overlaps once."""
-    zero = F.struct(F.lit(0).alias("total"), F.lit(0).alias("end"))
-    step = lambda s, x: F.struct((s["total"] + F.greatest(F.lit(0), x["to"] - F.greatest(x["from"], s["end"]))).alias("total"), F.greatest(s["end"], x["to"]).alias("end"))
-    return F.aggregate(spans, zero, step)["total"]
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, t, held in zip(b["id"], b["text"], b["held"], strict=True):
+                own: dict[tuple[int, bytes], list] = {}
+                for x in held:
+                    for p in x["positions"]:
+                        a = max(0, p - (length - k))
+                        c = t[a : p + length]
+                        if len(c) >= length:
+                            own.setdefault((x["anchor"], xxhash.xxh3_128_digest(c.encode("utf-8", "surrogatepass"))), [[], c])[0].append(a)
+                rows += [(anchor, same, i, froms, c) for (anchor, same), (froms, c) in own.items()]
+            yield pd.DataFrame(rows, columns=["anchor", "same", "id", "froms", "context"])
+
+    at = shared.groupBy("id").agg(F.collect_list(F.struct("anchor", "positions")).alias("held"))
+    texts = merged(docs.select(F.col("doc_id").alias("id"), "text"), at, "id")
+    return texts.mapInPandas(cut, "anchor bigint, same binary, id bigint, froms array<int>, context string")
+
+
+def sharded(distinct: DataFrame, length: int = LENGTH, most: int = SHARD) -> DataFrame:
+    """distinct contexts with the shard where each is read: anchors are spread over shards of about most characters; the contexts of an anchor
+    that has more than fill one are split into blocks, and each pair of blocks is a shard. Anchors with one context only are left out."""
+    whole = distinct.agg(F.coalesce(F.sum(F.length("context")), F.lit(0))).first()[0]
+    n = max(1, -(-whole // most))
+    size = max(1, most // (2 * length))  # contexts of a block
+    counted = checkpointed(distinct.groupBy("anchor").agg(F.count("*").alias("many")).filter("many > 1"))
+    held = spread_join(distinct, counted, ["anchor"], ["same"]).filter("many is not null")
+    blocks = F.ceil(F.col("many") / size).cast("int")
+    own = F.pmod(F.xxhash64("same"), blocks).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.xxhash64("anchor", F.least(own, j), F.greatest(own, j)))
+    few = F.array(F.pmod(F.xxhash64("anchor"), F.lit(n)))  # a cell's hash that meets one of these numbers only makes a shard larger
+    return held.select("anchor", "same", "lo", "hi", "context", F.explode(F.when(blocks == 1, few).otherwise(cells)).alias("shard"))
+
+
+def read_shard(rows: list[tuple[int, int, str]], length: int = LENGTH) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]:
+    """For each (lo, hi, context) of a shard its spans that stand in a context of a smaller lo, and those that stand in one of a larger hi: matching statistics against the automaton of those read before."""
+    before: list[list] = [[] for _ in rows]
+    behind: list[list] = [[] for _ in rows]
+    for out, key, down in ((before, 0, False), (behind, 1, True)):
+        automaton = SuffixAutomaton()
+        order = sorted(range(len(rows)), key=lambda i: rows[i][key], reverse=down)
+        for _, group in groupby(order, key=lambda i: rows[i][key]):
+            group = list(group)  # contexts of one text aren't held against each other
+            for i in group:
+                out[i] = automaton.spans(rows[i][2], length)
+            for i in group:
+                if not (out[i] and out[i][0] == (0, len(rows[i][2]))):
+                    automaton.add(rows[i][2])
+    return before, behind
+
+
+_SPANS = "array<struct<from:int,to:int>>"
+
+
+def shared_spans(docs: DataFrame, length: int = LENGTH, most: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """(id, earlier, anywhere): the stretches of each representative that spans shared with a smaller id cover, and those that spans shared with any cover, in order of place; and members (id, rep).
+
+    docs needs doc_id (unique) and text; other columns are ignored. Null texts and texts shorter than length share nothing. Positions are code points.
+    """
+    docs = _known(docs)
+    members = checkpointed(classes(docs, length))
+    found = checkpointed(contexts(docs, shared_anchors(docs, members, length), length))
+    distinct = checkpointed(found.groupBy("anchor", "same").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("context").alias("context")))
+    placed = sharded(distinct, length, most).repartition(shuffle_parts(docs.sparkSession), "shard").sortWithinPartitions("shard")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(held: list[tuple]) -> pa.RecordBatch:
+            sides = read_shard([(lo, hi, c) for _, _, lo, hi, c in held], length)
+            lists = [pa.array([[{"from": a, "to": b} for a, b in spans] for spans in side], pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))) for side in sides]
+            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary()), *lists], names=["anchor", "same", "before", "behind"])
+
+        last, held = None, []
+        for b in batches:
+            for shard, *row in zip(*(b.column(c).to_pylist() for c in ("shard", "anchor", "same", "lo", "hi", "context")), strict=True):
+                if shard != last and held:
+                    yield done(held)
+                    held = []
+                last = shard
+                held.append(tuple(row))
+        if held:
+            yield done(held)
+
+    read = placed.mapInArrow(run, f"anchor bigint, same binary, before {_SPANS}, behind {_SPANS}")
+    read = read.groupBy("anchor", "same").agg(F.flatten(F.collect_list("before")).alias("before"), F.flatten(F.collect_list("behind")).alias("behind"))
+    known = checkpointed(merged(distinct.select("anchor", "same", "lo", "hi", F.length("context").alias("n")), read, ["anchor", "same"], "left").filter("lo < hi or size(before) > 0 or size(behind) > 0"))
+    each = spread_join(found.select("anchor", "same", "id", "froms"), known, ["anchor", "same"], ["id"]).filter("lo is not null")
+    whole = F.array(F.struct(F.lit(0).alias("from"), F.col("n").alias("to")))
+    none = F.array().cast(_SPANS)
+
+    def at_places(spans):
+        return F.flatten(F.transform("froms", lambda a: F.transform(spans, lambda x: F.struct((a + x["from"]).alias("from"), (a + x["to"]).alias("to")))))
+
+    earlier = F.when(F.col("id") > F.col("lo"), whole).otherwise(F.coalesce("before", none))
+    later = F.when(F.col("id") < F.col("hi"), whole).otherwise(F.coalesce("behind", none))
+    spans = each.select("id", at_places(earlier).alias("earlier"), at_places(later).alias("later"))
+    gathered = spans.groupBy("id").agg(F.flatten(F.collect_list("earlier")).alias("earlier"), F.flatten(F.collect_list("later")).alias("later"))
+
+    def union(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sides = [[[(x["from"], x["to"]) for x in held] for held in b[c]] for c in ("earlier", "later")]
+            both = [joined(x + y) for x, y in zip(*sides, strict=True)]
+            yield pd.DataFrame({"id": b["id"], "earlier": [[{"from": x, "to": y} for x, y in joined(e)] for e in sides[0]], "anywhere": [[{"from": x, "to": y} for x, y in s] for s in both]})
+
+    return gathered.mapInPandas(union, f"id bigint, earlier {_SPANS}, anywhere {_SPANS}"), members
+
+
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order of place, with those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
 def coverage(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_chars, copies, partners, spans, shared_chars, shared): one row per text with an id, however much of it stands elsewhere.
+    """(doc_id, n_chars, copies, spans, shared_chars, shared): one row per text with an id, however much of it stands elsewhere.
 
-    copies counts the other texts that are equal, partners the classes of other texts that share a span; spans are all
-    maximal shared spans in order of place. Null and empty texts have 0 characters and share 0.
+    copies counts the other texts that are equal; spans are the stretches of the text every part of which lies in a shared span, in
+    order of place. Null and empty texts have 0 characters and share 0.
     """
-    found, members = shared_spans(docs, length, both=True)
-    own = found.groupBy("b").agg(F.count("*").alias("partners"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    found, members = shared_spans(docs, length)
+    own = found.select(F.col("id").alias("rep"), F.col("anywhere").alias("spans"))
     size = members.groupBy("rep").agg((F.count("*") - 1).alias("copies"))
-    per = members.join(size, "rep").join(own, members.rep == own.b, "left").select(F.col("id").alias("doc_id"), "copies", "partners", "spans")
-    every = docs.filter("doc_id is not null").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars")).join(per, "doc_id", "left")
-    none = F.array().cast("array<struct<from:int,to:int>>")
-    every = every.withColumn("copies", F.coalesce("copies", F.lit(0))).withColumn("partners", F.coalesce("partners", F.lit(0))).withColumn("spans", F.coalesce("spans", none))
-    chars = F.when(F.col("copies") > 0, F.col("n_chars")).otherwise(_union(F.col("spans")))
-    return every.withColumn("shared_chars", chars).withColumn("shared", F.when(F.col("n_chars") > 0, F.round(F.col("shared_chars") / F.col("n_chars"), 6)).otherwise(F.lit(0.0)))
+    per = merged(merged(members, size, "rep"), own, "rep", "left").select(F.col("id").alias("doc_id"), "copies", "spans")
+    every = merged(docs.filter("doc_id is not null").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars")), per, "doc_id", "left")
+    every = every.withColumn("copies", F.coalesce("copies", F.lit(0))).withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
+    sizes = F.aggregate("spans", F.lit(0), lambda n, x: n + x["to"] - x["from"])
+    every = every.withColumn("shared_chars", F.when(F.col("copies") > 0, F.col("n_chars")).otherwise(sizes))
+    return every.withColumn("shared", F.when(F.col("n_chars") > 0, F.round(F.col("shared_chars") / F.col("n_chars"), 6)).otherwise(F.lit(0.0)))
 
 
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, text): texts without the spans they share with a text of a smaller id; equal texts stay only with the smallest id, the others are empty. Null texts stay null."""
     found, members = shared_spans(docs, length)
-    cuts = found.groupBy("b").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    per = members.join(cuts, members.rep == cuts.b, "left").select(F.col("id").alias("doc_id"), (F.col("id") != F.col("rep")).alias("copy"), "spans")
-    joined = docs.select("doc_id", "text").join(per, "doc_id", "left")
-    zero = F.struct(F.lit("").alias("kept"), F.lit(0).alias("end"))
-
-    def step(s, x):
-        piece = F.when(x["from"] > s["end"], F.substring("text", s["end"] + 1, x["from"] - s["end"])).otherwise("")
-        return F.struct(F.concat(s["kept"], piece).alias("kept"), F.greatest(s["end"], x["to"]).alias("end"))
-
-    folded = F.aggregate("spans", zero, step, lambda s: F.concat(s["kept"], F.substring("text", s["end"] + 1, F.length("text"))))
-    return joined.select("doc_id", F.when(F.col("copy"), "").when(F.col("spans").isNull(), F.col("text")).otherwise(folded).alias("text"))
+    cuts = found.select(F.col("id").alias("rep"), F.col("earlier").alias("spans"))
+    per = merged(members, cuts, "rep", "left").select(F.col("id").alias("doc_id"), (F.col("id") != F.col("rep")).alias("copy"), "spans")
+    joined = merged(docs.select("doc_id", "text"), per, "doc_id", "left")
+    # what stands before, between and behind the spans
+    begins = F.concat(F.array(F.lit(0)), F.transform("spans", lambda x: x["to"]))
+    ends = F.concat(F.transform("spans", lambda x: x["from"]), F.array(F.length("text")))
+    kept = F.array_join(F.zip_with(begins, ends, lambda a, b: F.substring("text", a + 1, b - a)), "")
+    return joined.select("doc_id", F.when(F.col("copy"), "").when(F.coalesce(F.size("spans"), F.lit(0)) <= 0, F.col("text")).otherwise(kept).alias("text"))
