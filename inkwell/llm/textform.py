@@ -22,10 +22,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Letters of other scripts that look like Latin ones.
-_FOREIGN = "АВЕЅІЈКМНОРСТУХҮԌԚԜ" + "асеѕіјорухһԁԛԝ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" + "νορϲϳ" + "օ"
-_LATIN = "ABESIJKMHOPCTYXYGQW" + "acesijopyxhdqw" + "ABEZHIKMNOPTYX" + "vopcj" + "o"
-LOOKALIKE = dict(zip(_FOREIGN, _LATIN, strict=True))
+# Letters of other scripts whose skeleton is one Latin letter in the Unicode confusables data (UTS #39). Small Greek letters
+# that are used as symbols (alpha, gamma, iota, kappa, sigma, upsilon) are not taken: beside Latin letters they stand for themselves.
+_CONFUSABLE = {
+    "CYRILLIC": ("АВЕЅІӀЈКМНОРСТУХҮЬԌԚԜѴ" "асеҽѕіӏјорухүһгԁԛԝѵ", "ABESIIJKMHOPCTYXYbGQWV" "aceesiljopyxyhrdqwv"),
+    "GREEK": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿϺϜ" "νορϲϳ", "ABEZHIKMNOPTYXCJMF" "vopcj"),
+    "ARMENIAN": ("ՕՏՍ" "օոսհցզգյ", "OSU" "onuhgqqj"),
+    "COPTIC": ("ⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ" "ⲟⲣⲥ", "BHIKMNOPCTYX" "opc"),
+    "CHEROKEE": ("ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏳᏴ", "DRTiYAJEWMHYGZbRWSVSLCPKdGB"),
+    "LISU": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+}
+LOOKALIKE = {c: x for letters, plain in _CONFUSABLE.values() for c, x in zip(letters, plain, strict=True)}
 _INVISIBLE_EXTRA = "͏ᅟᅠ឴឵ㅤﾠ"  # without width, but not of the format category
 
 
@@ -100,7 +107,7 @@ def _script(c: str) -> str:
 
 def _latin_word(m: re.Match) -> str:
     word = m.group()
-    foreign = [c for c in word if c > "ɏ" and _script(c) in ("CYRILLIC", "GREEK", "ARMENIAN")]
+    foreign = [c for c in word if c > "ɏ" and _script(c) in _CONFUSABLE]
     if not foreign or len(foreign) == sum(map(str.isalpha, word)) or not all(c in LOOKALIKE for c in foreign):
         return word
     return "".join(LOOKALIKE.get(c, c) for c in word)

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.textform import canonical_segment, consistent, consistent_column, differing, fields
 
-CHANGED = [("wіth", "with"), ("Τest", "Test"), ("a\u00a0b", "a b"), ("e\u0301t", "ét"), ("di\ufb00er", "differ"), ("f\u200bo\u00adx", "fox"), ("ｏｆ", "of"), ("\U0001d5cbate", "rate"), ("ℓ", "l"), ("e\u0327\u0301", "\u0229\u0301")]
-SAME = [None, "", " ", "né", "SO₄²⁻ x² H₂O", "β Δ Ω λ 5°", "сост воды", "मात्रा क्या", "日本語", "\ttab\nline\r\n", "plain ´"]
+CHANGED = [("wіth", "with"), ("Τest", "Test"), ("a\u00a0b", "a b"), ("e\u0301t", "ét"), ("di\ufb00er", "differ"), ("f\u200bo\u00adx", "fox"), ("ｏｆ", "of"), ("\U0001d5cbate", "rate"), ("ℓ", "l"), ("e\u0327\u0301", "\u0229\u0301"), ("ոet", "net"), ("Ꮃater", "Water"), ("ꓢum", "Sum"), ("ⲟf", "of"), ("vӏtа", "vlta")]
+SAME = [None, "", " ", "né", "SO₄²⁻ x² H₂O", "β Δ Ω λ 5°", "сост воды", "मात्रा क्या", "日本語", "\ttab\nline\r\n", "plain ´", "σx αs γ-ray", "հայ", "ᎳᎷ"]
 
 
 @pytest.mark.parametrize(("raw", "want"), CHANGED)
