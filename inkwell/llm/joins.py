@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: What may be broadcast: so many rows with so many bytes of text and arrays.
-BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 4 << 20
 
 
 def merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:

@@ -6,8 +6,8 @@ class, of which only the smallest id is compared.
 
 How much of each text is shared (coverage, removed): the stretch around an anchor that holds every span of LENGTH characters with the
 anchor in it is its context. Equal contexts are one, known with the smallest and the largest id. The others go to shards of
-at most about SHARD characters, all contexts of one anchor to the same; in a shard they are read in the order of ids, each against the suffix
-automaton of those before it and then added, and once more from the end. So no text is ever paired with another, and what
+at most about SHARD characters, all contexts of one anchor to the same; in a shard they make one suffix
+automaton, through which each is streamed for its matching statistics with the contexts of other ids. So no text is ever paired with another, and what
 all texts share costs each of them once.
 
 Which texts share a span (pairs): the stretches around shared anchors (zones) are cut into shards of at most SHARD characters, and
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -38,8 +37,8 @@ K = 64
 CELL = 256
 #: Texts streamed through one copy of an automaton; more are spread over several.
 PARTNERS = 64
-#: Characters of a reference shard: 42 MB as an automaton.
-SHARD = 1 << 20
+#: Characters of a reference shard: 11 MB as an automaton.
+SHARD = 1 << 18
 
 
 def codes(text: str) -> np.ndarray:
@@ -98,6 +97,7 @@ class SuffixAutomaton:
     """All substrings of the given texts; built character by character, a fresh start for each text.
 
     Edges are linked lists in arrays (character, target, next edge of the same state), but for the root, whose many edges are a dictionary.
+    Loops are written out, since every character goes through them.
     """
 
     def __init__(self, texts: list[str] = ()):  # type: ignore[assignment]
@@ -107,84 +107,116 @@ class SuffixAutomaton:
         for t in texts:
             self.add(t)
 
-    def _edge(self, state: int, c: int) -> int:
-        """The edge of a state other than the root, or -1."""
-        char, after, e = self.char, self.after, self.head[state]
-        while e >= 0 and char[e] != c:
-            e = after[e]
-        return e
-
-    def _next(self, state: int, c: int) -> int:
-        if state == 0:
-            return self.root.get(c, -1)
-        e = self._edge(state, c)
-        return self.to[e] if e >= 0 else -1
-
-    def _join(self, state: int, c: int, target: int) -> None:
-        self.char.append(c)
-        self.to.append(target)
-        self.after.append(self.head[state])
-        self.head[state] = len(self.char) - 1
-
-    def _state(self, length: int, link: int) -> int:
-        self.length.append(length)
-        self.link.append(link)
-        self.head.append(-1)
-        return len(self.length) - 1
-
-    def add(self, text: str) -> None:
-        link, length = self.link, self.length
+    def add(self, text: str) -> list[int]:
+        """The states of the text's prefixes."""
+        root, link, length, head, char, to, after = self.root, self.link, self.length, self.head, self.char, self.to, self.after
+        states = []
         last = 0
         for c in map(ord, text):
-            known = self._next(last, c)
+            if last:
+                e = head[last]
+                while e >= 0 and char[e] != c:
+                    e = after[e]
+                known = to[e] if e >= 0 else -1
+            else:
+                known = root.get(c, -1)
             if known >= 0:  # this text's prefix is there already
                 last = known if length[known] == length[last] + 1 else self._split(last, c, known)
+                states.append(last)
                 continue
-            new = self._state(length[last] + 1, 0)
-            p = last
-            while p > 0 and self._edge(p, c) < 0:
-                self._join(p, c, new)
+            new = len(link)
+            length.append(length[last] + 1)
+            link.append(0)
+            head.append(-1)
+            p, q = last, -1
+            while p > 0:
+                e = head[p]
+                while e >= 0 and char[e] != c:
+                    e = after[e]
+                if e >= 0:
+                    q = to[e]
+                    break
+                char.append(c)
+                to.append(new)
+                after.append(head[p])
+                head[p] = len(char) - 1
                 p = link[p]
-            q = self._next(p, c)
+            else:
+                q = root.get(c, -1)
             if q < 0:
-                self.root[c] = new
+                root[c] = new
             else:
                 link[new] = q if length[p] + 1 == length[q] else self._split(p, c, q)
             last = new
+            states.append(last)
+        return states
 
     def _split(self, p: int, c: int, q: int) -> int:
         """A state for the shorter strings of q, which takes q's place behind p and p's suffixes."""
-        clone = self._state(self.length[p] + 1, self.link[q])
-        e = self.head[q]
+        link, head, char, to, after = self.link, self.head, self.char, self.to, self.after
+        clone, first, e = len(link), -1, head[q]
         while e >= 0:
-            self._join(clone, self.char[e], self.to[e])
-            e = self.after[e]
-        self.link[q] = clone
-        while p > 0 and (e := self._edge(p, c)) >= 0 and self.to[e] == q:
-            self.to[e] = clone
-            p = self.link[p]
-        if p == 0 and self.root.get(c) == q:
+            char.append(char[e])
+            to.append(to[e])
+            after.append(first)
+            first, e = len(char) - 1, after[e]
+        self.length.append(self.length[p] + 1)
+        link.append(link[q])
+        head.append(first)
+        link[q] = clone
+        while p > 0:
+            e = head[p]
+            while e >= 0 and char[e] != c:
+                e = after[e]
+            if e < 0 or to[e] != q:
+                return clone
+            to[e] = clone
+            p = link[p]
+        if self.root.get(c) == q:
             self.root[c] = clone
         return clone
 
-    def spans(self, text: str, least: int) -> list[tuple[int, int]]:
-        """Maximal stretches (from, to) of the text, of at least that length, that are substrings; none lies inside another."""
-        link, length = self.link, self.length
+    def spans(self, text: str, least: int, rank: array | None = None, below: int = 0) -> list[tuple[int, int]]:
+        """Maximal stretches (from, to) of the text, of at least that length, that are substrings; none lies inside another. With rank, only states of a rank below the given one count."""
+        root, link, length, head, char, to, after = self.root, self.link, self.length, self.head, self.char, self.to, self.after
         out: list[tuple[int, int]] = []
-        state = run = 0
+        state = run = i = 0
         for i, c in enumerate(map(ord, text)):
-            there = self._next(state, c)
-            if there < 0 and run >= least:
-                out.append((i - run, i))
-            while there < 0 and state > 0:
+            whole = run
+            while True:
+                if state:
+                    e = head[state]
+                    while e >= 0 and char[e] != c:
+                        e = after[e]
+                    there = to[e] if e >= 0 else -1
+                else:
+                    there = root.get(c, -1)
+                if there >= 0 and (rank is None or rank[there] < below):
+                    if run < whole and whole >= least:
+                        out.append((i - whole, i))
+                    state = there
+                    run += 1
+                    break
+                if not state:
+                    if whole >= least:
+                        out.append((i - whole, i))
+                    run = 0
+                    break
                 state = link[state]
                 run = length[state]
-                there = self._next(state, c)
-            state, run = (there, run + 1) if there >= 0 else (0, 0)
         if run >= least:
             out.append((len(text) - run, len(text)))
         return out
 
+    def least_ranks(self, ranks: array) -> array:
+        """For each state the least of its own rank and those of the states whose suffix it is."""
+        link = self.link
+        for s in np.argsort(np.frombuffer(self.length, np.int32), kind="stable")[:0:-1].tolist():
+            up = link[s]
+            if ranks[s] < ranks[up]:
+                ranks[up] = ranks[s]
+        return ranks
+
 
 def classes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, rep): texts of at least length characters that are equal are one class."""
@@ -344,20 +376,23 @@ def sharded(distinct: DataFrame, length: int = LENGTH, most: int = SHARD) -> Dat
 
 
 def read_shard(rows: list[tuple[int, int, str]], length: int = LENGTH) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]:
-    """For each (lo, hi, context) of a shard its spans that stand in a context of a smaller lo, and those that stand in one of a larger hi: matching statistics against the automaton of those read before."""
-    before: list[list] = [[] for _ in rows]
-    behind: list[list] = [[] for _ in rows]
-    for out, key, down in ((before, 0, False), (behind, 1, True)):
-        automaton = SuffixAutomaton()
-        order = sorted(range(len(rows)), key=lambda i: rows[i][key], reverse=down)
-        for _, group in groupby(order, key=lambda i: rows[i][key]):
-            group = list(group)  # contexts of one text aren't held against each other
-            for i in group:
-                out[i] = automaton.spans(rows[i][2], length)
-            for i in group:
-                if not (out[i] and out[i][0] == (0, len(rows[i][2]))):
-                    automaton.add(rows[i][2])
-    return before, behind
+    """For each (lo, hi, context) of a shard its spans that stand in a context of a smaller lo, and those that stand in one of a larger hi.
+
+    One automaton holds the whole shard. Each of its states knows the least lo (and the largest hi) of the contexts it stands in, and a context is
+    streamed through the states whose least lo is below its own; so it is never held against itself, nor against others of the same text.
+    """
+    automaton = SuffixAutomaton()
+    states = [automaton.add(c) for _, _, c in rows]
+    sides = []
+    for ids in ([lo for lo, _, _ in rows], [-hi for _, hi, _ in rows]):
+        ranks = array("q", [(1 << 63) - 1]) * len(automaton.link)
+        for own, path in zip(ids, states, strict=True):
+            for state in path:
+                if own < ranks[state]:
+                    ranks[state] = own
+        automaton.least_ranks(ranks)
+        sides.append([automaton.spans(c, length, ranks, own) for own, (_, _, c) in zip(ids, rows, strict=True)])
+    return sides[0], sides[1]
 
 
 _SPANS = "array<struct<from:int,to:int>>"
