@@ -36,6 +36,11 @@ def swap(c: Column, pattern: str, by: Callable[[Column], Column]) -> Column:
     return F.array_join(F.zip_with(gaps, F.concat(F.transform(hits, by), F.array(F.lit(""))), lambda gap, hit: F.concat(gap, hit)), "")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is computed once, however often the expression names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def inner(c: Column) -> Column:
     """Without the first and the last character."""
     return F.substring(c, F.lit(2), F.length(c) - 2)

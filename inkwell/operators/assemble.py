@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import spans as S
 from inkwell.functions.mathtext import check_math, convert_math
 from inkwell.functions.predicates import LABEL_AD
-from inkwell.functions.text import first, has, strip
+from inkwell.functions.text import first, has, let, strip
 from inkwell.session import settled, shuffle_parts
 
 EMPTY_MAP = "map<string,string>"
@@ -18,21 +18,36 @@ _ROMANS = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii")
 def option_split(text: Column) -> Column:
     """struct(stem, options): the last A label that B, C and D follow begins the options; without all four there are none.
 
-    The text is cut at every label and the order of the letters is read off a short string, so long texts cost linear time.
+    The text is cut at every label, and the places of the four are found in a short string of their letters: the last D, the
+    last C before it and so on back to A, then the first B, C and D behind that A. So long texts cost linear time.
     """
-    pieces = F.split(text, f"(?={LABEL_AD})", -1)
-    letters = F.array_join(F.transform(pieces, lambda p: F.when(has(p, f"^{LABEL_AD}"), F.upper(first(p, "[A-Da-d]"))).otherwise("-")), "")
-    order = "^(.*)A(.*?)B(.*?)C(.*?)D"
-    at, spots = F.lit(0), []
-    for i in range(1, 5):
-        at = at + F.length(first(letters, order, i)) + F.lit(int(i > 1))
-        spots.append(at)
-    ends = [*spots[1:], F.size(pieces)]
-    value = lambda a, b: strip(F.regexp_replace(F.array_join(F.slice(pieces, a + 1, F.greatest(b - a, F.lit(0))), ""), f"^{LABEL_AD}", ""))
-    options = F.create_map(*[x for c, a, b in zip("ABCD", spots, ends, strict=True) for x in (F.lit(c), value(a, b))])
-    found = has(letters, order)
-    stem = strip(F.array_join(F.slice(pieces, F.lit(1), spots[0]), ""))
-    return F.struct(F.when(found, stem).otherwise(text).alias("stem"), F.when(found, options).otherwise(F.create_map().cast(EMPTY_MAP)).alias("options"))
+    none = F.struct(text.alias("stem"), F.create_map().cast(EMPTY_MAP).alias("options"))
+
+    def chosen(pieces: Column, letters: Column) -> Column:
+        back = F.reverse(letters)
+        at, there = F.lit(0), F.lit(True)
+        for c in "DCBA":
+            at = F.position(F.lit(c), back, at + 1)
+            there = there & (at > 0)
+        begin = F.length(letters) - at + 1
+        spots = [begin]
+        for c in "BCD":
+            spots.append(F.position(F.lit(c), letters, spots[-1] + 1))
+        return F.when(there, let(F.array(*spots, F.size(pieces) + 1), lambda s: parted(pieces, s))).otherwise(none)
+
+    def parted(pieces: Column, spots: Column) -> Column:
+        def value(k: int) -> Column:
+            a, b = F.get(spots, F.lit(k)), F.get(spots, F.lit(k + 1))
+            return strip(F.regexp_replace(F.array_join(F.slice(pieces, a, b - a), ""), f"^{LABEL_AD}", ""))
+
+        stem = strip(F.array_join(F.slice(pieces, F.lit(1), F.get(spots, F.lit(0)) - 1), ""))
+        return F.struct(stem.alias("stem"), F.create_map(*[x for k, c in enumerate("ABCD") for x in (F.lit(c), value(k))]).alias("options"))
+
+    def lettered(pieces: Column) -> Column:
+        letters = F.array_join(F.transform(pieces, lambda p: F.when(has(p, f"^{LABEL_AD}"), F.upper(first(p, "[A-Da-d]"))).otherwise("-")), "")
+        return let(letters, lambda ls: chosen(pieces, ls))
+
+    return F.when(text.isNotNull(), let(F.split(text, f"(?={LABEL_AD})", -1), lettered))
 
 
 def _listed(body: Column, marks: list[tuple[str, str]], flags: str) -> Column:

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.operators import assemble, ledger, payload, segment
+from inkwell.session import checkpointed
 
 
 class Bank:
     """All tables of a question bank; each is planned when it is first asked for.
 
     rows: prepared blocks; parts: with q_seq; numbers: numbering events; questions: validated records; ledger: one row per block; diagnostics: one row per document.
+    rows and parts, from which all others come, are computed once and kept in checkpoints: the scan, the exchange by document and the fold are not repeated for each table.
     """
 
     def __init__(self, blocks: DataFrame):
@@ -21,11 +23,11 @@ class Bank:
 
     @cached_property
     def rows(self) -> DataFrame:
-        return segment.prepared(self.blocks)
+        return checkpointed(segment.prepared(self.blocks))
 
     @cached_property
     def parts(self) -> DataFrame:
-        return segment.segmented(segment.flagged(segment.parts(self.rows)))
+        return checkpointed(segment.segmented(segment.flagged(segment.parts(self.rows))))
 
     @cached_property
     def numbers(self) -> DataFrame:
