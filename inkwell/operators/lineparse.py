@@ -95,3 +95,23 @@ def parsed(lines: DataFrame) -> DataFrame:
         yield pd.DataFrame(got, columns=columns)
 
     return rows.sortWithinPartitions("doc_id", "ord").mapInPandas(run, out)
+
+
+RAW = "stem string, options map<string,string>, chapter string, spill map<string,string>, leftovers array<string>"
+
+
+def parsed_raw(texts: DataFrame, key: str, raw: str) -> DataFrame:
+    """(key, stem, options, chapter, spill, leftovers) of raw question texts, one row each; a null text counts as empty. See linetext.parse_raw."""
+    kind = dict(texts.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [L.parse_raw(t or "") for t in b[raw]]
+            yield pd.DataFrame({key: b[key], **{name: [g[name] for g in got] for name in ("stem", "options", "chapter", "spill", "leftovers")}})
+
+    return texts.select(key, raw).mapInPandas(run, f"{key} {kind}, {RAW}")
+
+
+def outcomes(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parsed and failed records of parsed()."""
+    return questions.filter("parsed_ok"), questions.filter("not coalesce(parsed_ok, false)")

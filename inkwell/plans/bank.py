@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.fixtures import SQL as EXAM
 from inkwell.fixtures import exam_blocks, exam_lines
 from inkwell.functions import predicates as P
 from inkwell.functions import spans as S
-from inkwell.operators import ledger, segment
+from inkwell.operators import align, layout, ledger, pagespans, segment
 from inkwell.operators.pipeline import Bank, blocks_of, build
 from inkwell.session import table
 
@@ -34,6 +34,11 @@ def _bank(spark: SparkSession, d: str) -> Bank:
     return build(exam_blocks(spark, d))
 
 
+_WHITE = "[\\s\\x{0B}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+#: Without white space of any kind at both ends, as the operators strip text.
+STRIP = f"regexp_replace(regexp_replace(%s, '^{_WHITE}+', ''), '{_WHITE}+$', '')"
+
+
 # The same steps in SQL. The lines hold only some of the forms that the operators know, so their patterns can do without lookaround.
 _NOISE = "regexp_matches(line, '(?i)\\b(Crash Course|DPPs|PYQs)\\b|^Join\\b')"
 _LABEL = "(?:\\(%s\\)|\\b%s\\.\\s)\\s*"
@@ -180,19 +185,46 @@ def q_questions(spark: SparkSession, d: str) -> DataFrame:
     return q.select(*cols, F.to_json("options").alias("options"), F.to_json("statements").alias("statements"), F.to_json("subparts").alias("subparts"), joined("appearances").alias("appearances"), joined("equations").alias("equations"), joined("block_ids").alias("block_ids"), joined("issues").alias("issues"))
 
 
-@query()
+_STATED = "(?i)(?:^|\\n)Statement\\s*(?:I|1)\\s*[:.]\\s+"
+#: The checks in SQL. On these lines a stem is blank exactly where it begins with its statements, and all options are there or none.
+_CHECKED = (
+    _TYPES
+    + f""", v0 AS (SELECT *, CASE WHEN regexp_matches(stem0, '{_STATED}') THEN trim(regexp_replace(stem0, '(?s){_STATED}.*$', '')) ELSE stem0 END AS stem, four AND len(list_distinct([opt_a, opt_b, opt_c, opt_d])) < 4 AS doubled,
+  four AND list_contains([opt_a, opt_b, opt_c, opt_d], '') AS hollow FROM typed),
+v1 AS (SELECT *, stem = '' AS blank, stem = '' OR hollow AS failed, stem = '' OR hollow OR doubled OR contains(stem, '00 g') AS doubtful FROM v0),
+checked AS (SELECT *, round(greatest(0.0, least(1.0, 0.65 + CASE WHEN blank THEN 0.0 ELSE 0.2 END + CASE WHEN four THEN 0.15 ELSE 0.0 END - CASE WHEN failed THEN 0.25 ELSE 0.0 END - CASE WHEN doubtful THEN 0.1 ELSE 0.0 END)), 2) AS score FROM v1)"""
+)
+CHECKS = FLAGS_HEAD + FLAGS + RECORDS + _CHECKED
+
+
+@query(CHECKS + """ SELECT issue, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN blank THEN 'EMPTY_STEM_NO_CONTENT' END, CASE WHEN doubled THEN 'DUPLICATE_OPTION_VALUES' END], lambda x: x IS NOT NULL)) AS issue FROM checked
+ UNION ALL SELECT 'EMPTY_OPTIONS' FROM checked WHERE hollow) GROUP BY issue""")
 def q_validation_issues(spark: SparkSession, d: str) -> DataFrame:
-    """How often each issue occurs."""
+    """How often each issue occurs; the labels of empty options are left out of the name."""
     q = _bank(spark, d).questions.select(F.explode("issues").alias("issue"))
-    return q.groupBy("issue").agg(F.count("*").alias("n"))
+    return q.withColumn("issue", F.regexp_replace("issue", r"^EMPTY_OPTIONS: .*", "EMPTY_OPTIONS")).groupBy("issue").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(CHECKS + " SELECT CASE WHEN failed THEN 'rejected' WHEN doubtful THEN 'needs_review' ELSE 'accepted' END AS bucket, count(*) AS n, round(avg(CAST(score AS DOUBLE)), 6) AS quality FROM checked GROUP BY 1")
 def q_outcome_buckets(spark: SparkSession, d: str) -> DataFrame:
     """Accepted, to be reviewed, rejected."""
     return ledger.outcome(_bank(spark, d).questions).groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.avg("quality_score"), 6).alias("quality"))
 
 
+@query(CHECKS + " SELECT doc_id, q_seq, NOT failed AS parsed_ok, doubtful AS needs_review, CAST(score AS DOUBLE) AS quality_score FROM checked")
+def q_quality_score(spark: SparkSession, d: str) -> DataFrame:
+    """What validation says of each question."""
+    return _bank(spark, d).questions.select("doc_id", "q_seq", "parsed_ok", "needs_review", "quality_score")
+
+
+@query(CHECKS + """ SELECT doc_id, q_seq, CASE WHEN four THEN 4 ELSE 0 END AS option_count, four AS has_options, regexp_matches(body, '(?i)\\bAssertion\\s*(?:A|:)\\s*') AS has_assertion, regexp_matches(body, '(?i)\\bReason\\s*(?:R|:)\\s*') AS has_reason,
+ regexp_matches(combined, '\\$.*?\\$') AS has_equation, stem <> stem0 AS has_statement_list, regexp_matches(body, '_{3,}') AS has_blank, false AS has_table, false AS has_image FROM checked""")
+def q_features(spark: SparkSession, d: str) -> DataFrame:
+    """The features from which the type of each question follows."""
+    names = ("option_count", "has_options", "has_assertion", "has_reason", "has_equation", "has_statement_list", "has_blank", "has_table", "has_image")
+    return _bank(spark, d).questions.select("doc_id", "q_seq", *[f"features.{n}" for n in names])
+
+
 _LEDGER = """, own AS (SELECT doc_id, ord, min(q_seq) AS q_seq FROM seg GROUP BY doc_id, ord), spans AS (SELECT doc_id, q_seq, min(ord) AS first_ord FROM seg GROUP BY doc_id, q_seq),
 cites AS (SELECT r.doc_id, r.ord, coalesce(max(s.q_seq) FILTER (WHERE s.first_ord < r.ord), min(s.q_seq)) AS q_seq FROM rows_ r JOIN spans s USING (doc_id) WHERE NOT r.is_noise AND r.text = '' AND len(r.apps) > 0 GROUP BY r.doc_id, r.ord),
 book AS (SELECT r.doc_id, r.ord, CASE WHEN r.is_noise THEN 'ignored_with_reason' WHEN coalesce(own.q_seq, cites.q_seq) IS NOT NULL THEN 'consumed' WHEN r.head IS NOT NULL THEN 'ignored_with_reason' ELSE 'orphaned' END AS status,
@@ -219,7 +251,7 @@ def q_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return _bank(spark, d).diagnostics.select("doc_id", "total_source_blocks", "consumed", "orphan_blocks", "ignored", "questions_detected", "numbered")
 
 
-@query()
+@query(FLAGS_HEAD + FLAGS + " SELECT doc_id, part_id, count(DISTINCT q_seq) AS n FROM seg GROUP BY doc_id, part_id HAVING count(DISTINCT q_seq) > 1")
 def q_duplicate_block_refs(spark: SparkSession, d: str) -> DataFrame:
     """Parts that two questions name; none is expected."""
     return ledger.duplicate_references(_bank(spark, d).questions)
@@ -238,15 +270,14 @@ def q_block_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return build(blocks_of(table(spark, d, "document_blocks"))).diagnostics
 
 
-@query("""WITH b AS (SELECT block_uid, min(file_id) AS file_id, min(page) AS page, min(text) AS text FROM document_blocks WHERE block_uid IS NOT NULL GROUP BY block_uid),
- n AS (SELECT file_id, count(DISTINCT page) AS pages FROM b WHERE page IS NOT NULL GROUP BY file_id), t AS (SELECT file_id, trim(text) AS line, count(DISTINCT page) AS seen FROM b WHERE page IS NOT NULL AND trim(text) <> '' GROUP BY file_id, trim(text))
- SELECT file_id, line, seen, pages FROM t JOIN n USING (file_id) WHERE pages > 1 AND seen >= 0.3 * pages AND seen > 1""")
+@query(f"""WITH b AS (SELECT block_uid, min(file_id) AS file_id, min(page) AS page, min(text) AS text FROM document_blocks WHERE block_uid IS NOT NULL AND page IS NOT NULL GROUP BY block_uid),
+ n AS (SELECT file_id, count(DISTINCT page) AS pages FROM b GROUP BY file_id), t AS (SELECT file_id, {STRIP % "text"} AS line, count(DISTINCT page) AS seen FROM b GROUP BY ALL)
+ SELECT file_id, line FROM t JOIN n USING (file_id) WHERE line <> '' AND seen >= 0.3 * pages""")
 def q_repeating_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Texts on at least 30 % of a file's pages, and on more than one: headers and footers."""
+    """Texts on at least 30 % of a file's pages: headers and footers, and everything in files of few pages."""
     b = table(spark, d, "document_blocks").filter("block_uid is not null and page is not null").groupBy("block_uid").agg(*[F.min(c).alias(c) for c in ("file_id", "page", "text")])
-    pages = b.groupBy("file_id").agg(F.count_distinct("page").alias("pages"))
-    seen = b.withColumn("line", F.trim("text")).filter("line <> ''").groupBy("file_id", "line").agg(F.count_distinct("page").alias("seen"))
-    return seen.join(pages, "file_id").filter("pages > 1 and seen > 1 and seen >= 0.3 * pages").select("file_id", "line", "seen", "pages")
+    spans = b.select(F.col("file_id").alias("doc_id"), "page", F.col("block_uid").alias("line_no"), F.lit(0).alias("span_no"), "text", F.lit(0.0).alias("line_y1"))
+    return pagespans.repeating_lines(spans).select(F.col("doc_id").alias("file_id"), F.col("text").alias("line"))
 
 
 @query("""SELECT question_uid, n_options, n_empty, n_distinct FROM (SELECT question_uid, max(cardinality(options)) AS n_options, max(len(list_filter(map_values(options), lambda v: v IS NULL OR regexp_matches(v, '^\\s*$')))) AS n_empty,
@@ -285,10 +316,60 @@ def q_block_roles(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("question_uid").alias("questions"), F.count("known").alias("in_ledger"))
 
 
-@query("""WITH q AS (SELECT question_uid, min(file_id) AS file_id, min(q_seq) AS q_seq, min(section) AS section FROM questions WHERE question_uid IS NOT NULL GROUP BY question_uid)
- SELECT question_uid, file_id, q_seq, section, CASE WHEN section IS DISTINCT FROM lag(section) OVER (PARTITION BY file_id ORDER BY q_seq, question_uid) THEN 1 ELSE 0 END AS heading FROM q""")
+_STORED = """WITH s AS (SELECT question_uid, min(file_id) AS file_id, min(q_seq) AS q_seq, min(section) AS section, min(source_question_number) AS number, min(question) AS question, min(question_type) AS question_type,
+ any_value(options) AS options, any_value(images) AS images, any_value(parsed_ok) AS parsed_ok, any_value(needs_review) AS needs_review FROM questions WHERE question_uid IS NOT NULL GROUP BY question_uid)"""
+
+
+def stored(spark: SparkSession, d: str) -> DataFrame:
+    """The bank's records, each once."""
+    q = table(spark, d, "questions").filter("question_uid is not null").groupBy("question_uid")
+    least = ("file_id", "q_seq", "section", "source_question_number", "question", "question_type")
+    return q.agg(*[F.min(c).alias(c) for c in least], *[F.any_value(c).alias(c) for c in ("options", "images", "parsed_ok", "needs_review")]).withColumnRenamed("source_question_number", "number")
+
+
+@query(_STORED + """, o AS (SELECT *, lag(sec) OVER (PARTITION BY file_id ORDER BY q_seq, question_uid) AS before, row_number() OVER (PARTITION BY file_id ORDER BY q_seq, question_uid) AS nth FROM (SELECT *, coalesce(nullif(section, ''), 'General') AS sec FROM s)),
+ l AS (SELECT file_id, q_seq, question_uid, list_concat(CASE WHEN sec IS DISTINCT FROM before THEN [{'kind': 'heading', 'text': 'Section: ' || sec}] ELSE [] END,
+  [{'kind': 'header', 'text': 'Question ' || coalesce(nullif(number, ''), '?') || ' [' || upper(coalesce(question_type, 'mcq')) || ']'}, {'kind': 'question', 'text': coalesce(question, '')}], list_transform(coalesce(images, []), lambda x: {'kind': 'image', 'text': x.path}),
+  list_transform(list_filter(['A', 'B', 'C', 'D'], lambda c: coalesce(options[c], '') <> ''), lambda c: {'kind': 'option', 'text': '(' || c || ') ' || options[c]}),
+  list_transform(list_filter(coalesce(map_entries(options), []), lambda e: e.key NOT IN ('A', 'B', 'C', 'D') AND coalesce(e.value, '') <> ''), lambda e: {'kind': 'option', 'text': '(' || e.key || ') ' || e.value})) AS xs FROM o)
+ SELECT file_id, q_seq, question_uid, CAST(i - 1 AS INTEGER) AS line, xs[i].kind AS kind, xs[i].text AS text FROM (SELECT *, unnest(range(1, len(xs) + 1)) AS i FROM l)""")
 def q_print_plan(spark: SparkSession, d: str) -> DataFrame:
-    """The order of print, with a heading wherever the section changes."""
-    q = table(spark, d, "questions").filter("question_uid is not null").groupBy("question_uid").agg(*[F.min(c).alias(c) for c in ("file_id", "q_seq", "section")])
-    before = F.lag("section").over(Window.partitionBy("file_id").orderBy("q_seq", "question_uid"))
-    return q.withColumn("heading", F.when(F.col("section").eqNullSafe(before), 0).otherwise(1))
+    """What is printed of the bank, line by line: headings where the section changes, headers, questions, pictures, options."""
+    q = stored(spark, d).withColumn("images", F.transform("images", lambda x: x["path"]))
+    return layout.print_plan(q, ["file_id"], ["q_seq", "question_uid"])
+
+
+@query(_STORED + """, k AS (SELECT *, coalesce(question_type = 'divider', false) AS divider, coalesce(question_type IN ('match_the_column', 'match_list', 'match'), false) AS matching, coalesce(NOT parsed_ok, false) OR coalesce(needs_review, false) AS flag,
+  coalesce(question_type IN ('open', 'subjective', 'numerical', 'short_answer', 'long_answer', 'fill_in_the_blanks'), false) OR coalesce(cardinality(options), 0) = 0 AS opened FROM s),
+ c AS (SELECT file_id, count(*) AS questions, count(*) FILTER (WHERE divider) AS dividers, count(*) FILTER (WHERE matching AND NOT divider) AS to_match, count(*) FILTER (WHERE opened AND NOT divider AND NOT matching) AS open, count(*) FILTER (WHERE flag) AS flagged FROM k GROUP BY file_id)
+ SELECT *, questions - dividers - to_match - open AS multiple_choice, questions || CASE WHEN flagged > 0 THEN ' Questions (' || flagged || ' Flagged for Review) · Exam Prep' ELSE ' Questions · Boards / Competitive Exam' END AS subtitle FROM c""")
+def q_deck_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Questions of each file's deck by kind, with its subtitle."""
+    return layout.deck_counts(stored(spark, d), ["file_id"])
+
+
+_HIGH = "list_transform(['A', 'B', 'C', 'D'], lambda c: CASE WHEN coalesce(options[c], '') = '' THEN 0.35 ELSE greatest(0.35, list_sum(list_transform(string_split(options[c], chr(10)), lambda x: greatest(1, ceil(len(" + STRIP % "x" + ") / %s)))) * 0.296) END)"
+
+
+@query(_STORED + f""", v AS (SELECT question_uid, options, list_transform(['A', 'B', 'C', 'D'], lambda c: {STRIP % "coalesce(options[c], '')"}) AS t, {_HIGH % "35.0"} AS h4, {_HIGH % "41.0"} AS h2 FROM s WHERE options IS NOT NULL),
+ f AS (SELECT *, list_bool_and(list_transform(t, lambda x: len(x) BETWEEN 1 AND 32 AND len(x) - len(replace(x, chr(10), '')) <= 1)) AS fits, unnest(range(0, 4)) AS k FROM v)
+ SELECT question_uid, chr(CAST(65 + k AS INTEGER)) AS letter, CAST(CASE WHEN fits THEN 0 ELSE k // 2 END AS INTEGER) AS row, CAST(CASE WHEN fits THEN k ELSE k % 2 END AS INTEGER) AS column, CAST(round(CASE WHEN fits THEN 0.5 + k * 3.1325 ELSE 0.5 + (k % 2) * 6.34 END, 4) AS DOUBLE) AS x,
+ CAST(CASE WHEN fits THEN 2.9325 ELSE 5.99 END AS DOUBLE) AS width, CAST(round(greatest(0.5, CASE WHEN fits THEN list_max(h4) WHEN k < 2 THEN greatest(h2[1], h2[2]) ELSE greatest(h2[3], h2[4]) END), 4) AS DOUBLE) AS height FROM f WHERE list_contains(map_keys(options), chr(CAST(65 + k AS INTEGER)))""")
+def q_option_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Where the options of each question stand on its slide."""
+    return stored(spark, d).select("question_uid", F.inline(layout.option_boxes(F.col("options"))))
+
+
+@query()
+def q_component_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Components of the exam files' questions with the inline nodes that are theirs."""
+    q = build(blocks_of(table(spark, d, "document_blocks"))).questions
+    return align.aligned(layout.components(q), q).withColumn("nodes", F.to_json("nodes"))
+
+
+@query()
+def q_table_heights(spark: SparkSession, d: str) -> DataFrame:
+    """Heights of the rows of the exam files' tables on a slide."""
+    q = build(blocks_of(table(spark, d, "document_blocks"))).questions.select("doc_id", "q_seq", F.posexplode("tables").alias("n", "t"))
+    maths = F.transform("t.cell_content", lambda r: F.array_max(F.transform(F.flatten(F.transform(r, lambda c: c["inline_content"])), lambda x: F.when(~x.contains("math_sequence"), 0).when(x.contains("\\\\frac"), 2).otherwise(1))))
+    return q.select("doc_id", "q_seq", "n", F.posexplode(layout.table_heights(F.col("t.rows"), maths)).alias("row", "height"))

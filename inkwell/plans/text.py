@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.fixtures import exam_blocks, exam_lines
+from inkwell.fixtures import exam_blocks
 from inkwell.functions import chem, mathtext, mathtree, runs
+from inkwell.functions.autolatex import auto_latex_column
 from inkwell.functions import predicates as P
 from inkwell.functions import spans as S
 from inkwell.functions.mathtext import readable_series
 from inkwell.operators import layout, lineparse, nested, pagespans, repair
-from inkwell.operators.pipeline import build
-from inkwell.plans.bank import joined
+from inkwell.operators.pipeline import blocks_of, build
+from inkwell.plans import bank
+from inkwell.plans.bank import STRIP, joined
 from inkwell.session import once_per, table
 
 QUERIES, SQL = {}, {}
@@ -53,6 +55,36 @@ def q_formula_counts(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("question_uid").agg(F.count("*").alias("n"), count(r"\{").alias("opened"), count(r"\}").alias("closed"), count(r"\\int(?![A-Za-z])").alias("integrals"))
 
 
+@query(_Q + """, f AS (SELECT question_uid, unnest(regexp_extract_all(question, '\\$(.*?)\\$', 1)) AS x0 FROM q), t AS (SELECT question_uid, trim(x0, ' ' || chr(9)) AS x FROM f),
+ c AS (SELECT *, len(regexp_extract_all(x, '\\\\int')) - len(regexp_extract_all(x, '\\\\int[A-Za-z]')) AS ints, len(regexp_extract_all(x, '\\\\,d[xt]\\b')) AS ends, regexp_replace(regexp_replace(x, '\\{[^{}]*\\}', '□', 'g'), '\\{[^{}]*\\}', '□', 'g') AS folded FROM t)
+ SELECT question_uid, x AS formula, count(*) AS n, array_to_string(list_filter([CASE WHEN len(replace(x, '{', '')) <> len(replace(x, '}', '')) THEN 'unbalanced braces' END, CASE WHEN len(regexp_extract_all(x, '\\\\begin')) <> len(regexp_extract_all(x, '\\\\end')) THEN 'begin/end mismatch' END,
+ CASE WHEN ints <> ends THEN ints || ' integral sign(s) but ' || ends || ' differential(s)' END, CASE WHEN regexp_matches(folded, '\\\\int(?:_□)?(?:\\^□)?\\s*\\\\,d[xt]') THEN 'integral with empty integrand' END], lambda p: p IS NOT NULL), '|') AS problems FROM c GROUP BY ALL""")
+def q_check_math(spark: SparkSession, d: str) -> DataFrame:
+    """Problems of every formula as it stands."""
+    f = _questions(spark, d).select("question_uid", F.explode(S.equations(F.col("question"))).alias("formula")).groupBy("question_uid", "formula").agg(F.count("*").alias("n"))
+    return f.withColumn("problems", joined(mathtext.check_math(F.col("formula"))))
+
+
+@query()
+def q_auto_latex(spark: SparkSession, d: str) -> DataFrame:
+    """Every question with its unmarked formulas as LaTeX."""
+    return _questions(spark, d).select("question_uid", auto_latex_column(F.col("question")).alias("latex"))
+
+
+@query()
+def q_option_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Year tags that stand behind an option of the bank, moved to their question, and the options that have swallowed a next question."""
+    q = table(spark, d, "questions").filter("question_uid is not null and options is not null").groupBy("question_uid").agg(F.any_value("question").alias("question"), F.any_value("options").alias("options"))
+    r = q.select("question_uid", runs.option_tags(S.year_tag(F.col("question"))["tag"], F.col("options")).alias("r"))
+    return r.select("question_uid", "r.tag", F.to_json("r.options").alias("options"), joined("r.swallowed").alias("swallowed"))
+
+
+@query()
+def q_attached_subscripts(spark: SparkSession, d: str) -> DataFrame:
+    """Every question with the digits inside its chemical formulas as subscripts."""
+    return _questions(spark, d).select("question_uid", chem.attached_subscripts(F.col("question")).alias("chem"))
+
+
 @query()
 def q_split_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs of each question, cut at dollar signs."""
@@ -76,8 +108,8 @@ def q_chem_subscripts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_latex_readable(spark: SparkSession, d: str) -> DataFrame:
-    """Questions with formulas as readable text."""
-    return _questions(spark, d).filter(F.col("question").contains("$")).select("question_uid", F.pandas_udf(readable_series, "string")("question").alias("readable"))
+    """Every question as readable text, its formulas marked or not."""
+    return _questions(spark, d).select("question_uid", F.pandas_udf(readable_series, "string")("question").alias("readable"))
 
 
 @query(_Q + """ SELECT question_uid, array_to_string(list_transform(regexp_extract_all(question, '\\[IMG:\\s*(.*?)\\]', 1), lambda x: x), '|') AS images FROM q WHERE regexp_matches(question, '\\[IMG:')""")
@@ -94,15 +126,39 @@ def q_text_flags(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_citations(spark: SparkSession, d: str) -> DataFrame:
-    """Year tags of the exam lines."""
-    c = exam_lines(spark, d).select("doc_id", "ord", S.citation(F.col("line")).alias("c"))
-    return c.filter("c.citation is not null").select("doc_id", "ord", "c.stem", "c.citation")
+    """Year tags of the bank's questions, cut from their stems."""
+    c = _questions(spark, d).select("question_uid", S.citation(F.col("question")).alias("c"))
+    return c.filter("c.citation is not null").select("question_uid", "c.stem", "c.citation")
+
+
+def _block_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, ord, line): the lines of the exam files' paragraphs, in order."""
+    b = blocks_of(table(spark, d, "document_blocks")).filter("block_type = 'paragraph' and text is not null")
+    each = b.select("doc_id", "ord", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    return each.select("doc_id", F.struct("ord", "n").alias("ord"), "line")
 
 
 @query()
 def q_line_parser(spark: SparkSession, d: str) -> DataFrame:
-    """The exam lines by the older line rules."""
-    return lineparse.parsed(exam_lines(spark, d)).withColumn("options", F.to_json("options"))
+    """The exam files' lines by the older line rules."""
+    return lineparse.parsed(_block_lines(spark, d)).withColumn("options", F.to_json("options"))
+
+
+@query()
+def q_line_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """How many records of the older line rules are parsed and how many have failed, by type."""
+    good, bad = lineparse.outcomes(lineparse.parsed(_block_lines(spark, d)))
+    return good.select("question_type", F.lit("parsed").alias("outcome")).unionByName(bad.select("question_type", F.lit("failed").alias("outcome"))).groupBy("question_type", "outcome").agg(F.count("*").alias("n"))
+
+
+@query()
+def q_raw_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The bank's questions as raw texts with their options below, read again."""
+    q = table(spark, d, "questions").filter("question_uid is not null").groupBy("question_uid").agg(F.min("question").alias("question"), F.any_value("options").alias("options"))
+    options = F.array_join(F.transform(F.map_entries("options"), lambda e: F.concat(F.lit("("), e["key"], F.lit(") "), F.coalesce(e["value"], F.lit("")))), "\n")
+    raw = q.select("question_uid", F.concat(F.coalesce("question", F.lit("")), F.lit("\n"), F.coalesce(options, F.lit(""))).alias("raw"))
+    got = lineparse.parsed_raw(raw, "question_uid", "raw")
+    return got.select("question_uid", "stem", F.to_json("options").alias("options"), "chapter", F.to_json("spill").alias("spill"), joined("leftovers").alias("leftovers"))
 
 
 _FIX = "WITH q AS (SELECT question_uid, min(question) AS question, min(question_type) AS question_type FROM questions WHERE question_uid IS NOT NULL GROUP BY question_uid)"
@@ -120,7 +176,7 @@ def q_corrections_join(spark: SparkSession, d: str) -> DataFrame:
     return repair.corrected(q, c).select(F.col("question_id").alias("question_uid"), "question", "question_type")
 
 
-@query()
+@query(bank.CHECKS + " SELECT question_type, CASE WHEN failed OR doubtful THEN 'applied' END AS recovery, count(*) AS n FROM checked GROUP BY 1, 2")
 def q_recovery_merge(spark: SparkSession, d: str) -> DataFrame:
     """Failed questions of the exam lines with the proposals of a provider that gives every one the same options."""
     q = build(exam_blocks(spark, d)).questions.withColumn("question_id", F.concat_ws("-", "doc_id", "q_seq"))
@@ -133,34 +189,17 @@ def q_recovery_merge(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("question_type", "recovery").agg(F.count("*").alias("n"))
 
 
-_LINES = "greatest(1, ceil(len(trim(x)) / 78.0))"
-
-
-@query(_Q + " SELECT question_uid, CASE WHEN question = '' THEN 0.35 ELSE round(greatest(0.35, list_sum(list_transform(string_split(question, chr(10)), lambda x: greatest(1, ceil(len(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) / 78.0)))) * 0.333), 6) END AS height FROM q WHERE NOT regexp_matches(question, '[^\\x00-\\x7F]')")
+@query(_Q + f" SELECT question_uid, CASE WHEN question = '' THEN 0.35 ELSE round(greatest(0.35, list_sum(list_transform(string_split(question, chr(10)), lambda x: greatest(1, ceil(len({STRIP % 'x'}) / 78.0)))) * 0.333), 6) END AS height FROM q")
 def q_content_height(spark: SparkSession, d: str) -> DataFrame:
-    """Height of each ASCII question at 12 inches and 18 points: those of q_content_height_all that the SQL can be held against."""
-    return q_content_height_all(spark, d, ~F.col("question").rlike(r"[^\x00-\x7F]"))
+    """Height of every question at 12 inches and 18 points."""
+    return _questions(spark, d).select("question_uid", F.round(layout.content_height(F.col("question"), 12.0, 18), 6).alias("height"))
 
 
-@query()
-def q_content_height_all(spark: SparkSession, d: str, kept: Column | None = None) -> DataFrame:
-    """Height of every question, whatever its characters; SQL can't strip and count such text alike."""
-    q = _questions(spark, d) if kept is None else _questions(spark, d).filter(kept)
-    return q.select("question_uid", F.round(layout.content_height(F.col("question"), 12.0, 18), 6).alias("height"))
-
-
-@query("""WITH o AS (SELECT question_uid, max(CAST(options AS VARCHAR)) AS k, any_value(options) AS o FROM questions WHERE question_uid IS NOT NULL AND options IS NOT NULL GROUP BY question_uid)
- SELECT question_uid, coalesce(list_bool_and(list_transform(['A', 'B', 'C', 'D'], lambda c: o[c] IS NOT NULL AND len(regexp_replace(o[c], '^\\s+|\\s+$', '', 'g')) BETWEEN 1 AND 32)), false) AS fits FROM o WHERE NOT regexp_matches(k, '[^\\x00-\\x7F]|\\n')""")
+@query(f"""WITH o AS (SELECT question_uid, any_value(options) AS o FROM questions WHERE question_uid IS NOT NULL AND options IS NOT NULL GROUP BY question_uid), s AS (SELECT question_uid, list_transform(['A', 'B', 'C', 'D'], lambda c: {STRIP % "coalesce(o[c], '')"}) AS v FROM o)
+ SELECT question_uid, list_bool_and(list_transform(v, lambda x: len(x) BETWEEN 1 AND 32 AND len(x) - len(replace(x, chr(10), '')) <= 1)) AS fits FROM s""")
 def q_fit_1x4(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the options fit in one row, of questions whose values are ASCII without line ends: those that the SQL can be held against."""
-    return q_fit_1x4_all(spark, d, ~F.array_join(F.map_values("options"), " ").rlike(r"[^\x00-\x7F]|\n"))
-
-
-@query()
-def q_fit_1x4_all(spark: SparkSession, d: str, kept: Column | None = None) -> DataFrame:
-    """The same of every question with options, also where values have several lines or any characters, which SQL can't strip and count alike."""
+    """Whether the options of each question fit in one row: all four there, short, and at most two lines high."""
     o = table(spark, d, "questions").filter("question_uid is not null and options is not null").groupBy("question_uid").agg(F.any_value("options").alias("options"))
-    o = o if kept is None else o.filter(kept)
     return o.select("question_uid", layout.fits_one_row(F.col("options")).alias("fits"))
 
 
@@ -173,8 +212,14 @@ def q_badge_width(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_slide_pagination(spark: SparkSession, d: str) -> DataFrame:
-    """Components of the exam lines' questions on slides."""
-    return layout.paginated(layout.components(build(exam_blocks(spark, d)).questions)).drop("text")
+    """Components of the exam files' questions on slides."""
+    return layout.paginated(layout.components(build(blocks_of(table(spark, d, "document_blocks"))).questions)).drop("text")
+
+
+@query()
+def q_slide_map(spark: SparkSession, d: str) -> DataFrame:
+    """The slides of each question of the exam files."""
+    return layout.slide_map(layout.paginated(layout.components(build(blocks_of(table(spark, d, "document_blocks"))).questions)))
 
 
 @query("""WITH u AS (SELECT DISTINCT file_id, source_block_id FROM source_ledger), s AS (SELECT file_id, source_block_id, max(status) AS status FROM source_ledger WHERE status <> 'orphaned' GROUP BY file_id, source_block_id)

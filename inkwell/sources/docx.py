@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -12,9 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.functions.text import strip
 from inkwell.operators.pagespans import LOWERED, RAISED
 
-SCHEMA = "path string, ord bigint, block_id string, block_type string, parent_block_id string, row_index int, col_index int, part int, text string, error string"
+SCHEMA = "path string, ord bigint, block_id string, block_type string, parent_block_id string, row_index int, col_index int, part int, text string, inline_content string, children string, error string"
 MEDIA_SCHEMA = "path string, name string, content binary"
 _STRUCTURE = re.compile(r"(?:\d+[.)]|[A-Ea-e][.)]|\([A-Ea-e]\)|\([i-xIvX]+\))\s+")
 _NUMERALS = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x")
@@ -147,6 +149,63 @@ class Reader:
         return f"({names[n - 1] if n <= len(names) else n}) "
 
 
+# The kinds of formula nodes, and the operands of those that have roles.
+KINDS = dict(
+    f="fraction", sSup="superscript", sSub="subscript", sSubSup="subsup", rad="radical", nary="nary", func="function", d="delimiter", limLow="lower_limit", limUpp="upper_limit", acc="accent", bar="bar",
+    oMath="math_sequence", oMathPara="math_sequence", e="math_sequence", num="math_sequence", den="math_sequence", sup="math_sequence", sub="math_sequence", deg="math_sequence", lim="math_sequence",
+    m="matrix", mr="matrix_row", eqArr="equation_array", groupChr="group",
+)
+OPERANDS = {
+    "f": "num=numerator den=denominator", "sSup": "e=base sup=superscript", "sSub": "e=base sub=subscript", "sSubSup": "e=base sub=subscript sup=superscript", "rad": "deg=degree e=radicand",
+    "nary": "sub=lower_limit sup=upper_limit e=body", "func": "fName=function_name e=argument", "d": "e=contents", "limLow": "e=base lim=lower_limit", "limUpp": "e=base lim=upper_limit", "acc": "e=contents", "bar": "e=contents",
+}
+STYLES = {"b": "bold", "i": "italic", "u": "underline"}
+_SILENT = frozenset("pPr rPr proofErr bookmarkStart bookmarkEnd".split())
+
+
+def formula_node(reader: Reader, node: ET.Element) -> dict:
+    """A formula as a tree: operands under their roles, other containers with their children in order, runs as tokens. Only direct children are operands, so a fraction in a root is not the root's."""
+    name = _name(node)
+    own = {"kind": KINDS.get(name, "math_token"), "value": "".join(t.text or "" for t in node.iter() if _name(t) == "t") if name == "r" else reader.text(node, True), "source": {"omml_tag": name}}
+    if name in OPERANDS:
+        pairs = (x.split("=") for x in OPERANDS[name].split())
+        own["children"] = [{"kind": role, "value": reader.text(kid, True), "children": [formula_node(reader, kid)]} for tag, role in pairs if (kid := _kid(node, tag)) is not None]
+    elif name not in ("r", "t", "chr"):
+        own["children"] = [formula_node(reader, c) for c in node if not _name(c).endswith("Pr")]
+    if name == "nary" and (sign := _value(node, "naryPr", "chr")):
+        own["formatting"] = {"operator": sign}
+    return own
+
+
+def inline_nodes(reader: Reader, paragraph: ET.Element) -> list[dict]:
+    """What a paragraph holds, in order: texts with their formats, formulas as trees, line breaks and pictures."""
+    out: list[dict] = []
+
+    def walk(node: ET.Element, style: dict) -> None:
+        for c in node:
+            name = _name(c)
+            if name in _SILENT:
+                continue
+            if name in ("oMath", "oMathPara"):
+                out.append(formula_node(reader, c))
+            elif name == "r":
+                props = _kid(c, "rPr")
+                marks = {STYLES[_name(x)]: _value(x) not in ("0", "false", "none") for x in props if _name(x) in STYLES} if props is not None else {}
+                align = _value(props, "vertAlign")
+                walk(c, {k: v for k, v in (("vertical_align", align if align in ("superscript", "subscript") else None), ("formatting", marks)) if v})
+            elif name in ("t", "tab"):
+                out.append({"kind": "text", "value": "\t" if name == "tab" else c.text or ""} | style)
+            elif name == "br":
+                out.append({"kind": "line_break"} | {k: v for k, v in style.items() if k == "formatting"})
+            elif name in ("drawing", "pict"):
+                out.extend({"kind": "image", "value": path} for path in re.findall(r"\[IMG: (.*?)\]", reader.text(c)))
+            else:
+                walk(c, style)
+
+    walk(paragraph, {})
+    return out
+
+
 def soft_lines(text: str) -> list[str]:
     """A paragraph cut where a line begins a number or label, if more than one does; else one piece."""
     lines = [x for x in map(str.strip, text.split("\n")) if x]
@@ -172,25 +231,34 @@ def read(data: bytes) -> list[dict]:
 
     def add(kind: str, parent: str | None, **more) -> dict:
         n = len(out) + 1
-        out.append({"ord": n, "block_id": str(n), "block_type": kind, "parent_block_id": parent, "row_index": None, "col_index": None, "part": 0, "text": None} | more)
+        out.append({"ord": n, "block_id": str(n), "block_type": kind, "parent_block_id": parent, "row_index": None, "col_index": None, "part": 0, "text": None, "inline_content": None, "children": None} | more)
         return out[-1]
 
-    def walk(holder: ET.Element | None, parent: str | None) -> list[str]:
-        texts: list[str] = []
+    def walk(holder: ET.Element | None, parent: str | None) -> list[dict]:
+        """Adds the blocks of a holder; gives its paragraphs and tables as nested blocks."""
+        nested: list[dict] = []
         for item in holder if holder is not None else []:
             if _name(item) == "p":
                 raw = (reader.number(item) + reader.text(item).strip()).strip()
-                for k, piece in enumerate(soft_lines(raw)):
-                    add("paragraph", parent, text=piece, part=k)
-                    texts.append(piece)
+                nodes = inline_nodes(reader, item) if raw else []
+                for k, piece in enumerate(soft_lines(raw)):  # the nodes stay with the first piece
+                    made = add("paragraph", parent, text=piece, part=k, inline_content=json.dumps(nodes, ensure_ascii=False) if k == 0 and nodes else None)
+                    nested.append({"block_type": "paragraph", "block_id": made["block_id"], "text": piece, "inline_content": nodes if k == 0 else []})
             elif _name(item) == "tbl":
                 table = add("table", parent)
+                rows = []
                 for i, tr in enumerate(r for r in item if _name(r) == "tr"):
                     row = add("table_row", table["block_id"], row_index=i)
+                    cells = []
                     for j, tc in enumerate(c for c in tr if _name(c) == "tc"):
                         cell = add("table_cell", row["block_id"], row_index=i, col_index=j)
-                        cell["text"] = "\n".join(walk(tc, cell["block_id"]))
-        return texts
+                        inside = walk(tc, cell["block_id"])
+                        cell["text"] = "\n".join(x["text"] for x in inside if x["block_type"] == "paragraph")
+                        cells.append({"block_type": "table_cell", "block_id": cell["block_id"], "text": cell["text"], "children": inside})
+                    rows.append({"block_type": "table_row", "block_id": row["block_id"], "children": cells})
+                table["children"] = json.dumps(rows, ensure_ascii=False)
+                nested.append({"block_type": "table", "block_id": table["block_id"], "children": rows})
+        return nested
 
     walk(body, None)
     return out
@@ -229,8 +297,14 @@ def media(spark: SparkSession, path: str) -> DataFrame:
 
 
 def top_blocks(found: DataFrame) -> DataFrame:
-    """Blocks for the question pipeline: doc_id from the path, paragraphs and tables that stand in nothing else."""
-    return found.filter("parent_block_id is null and error is null").select(F.xxhash64("path").alias("doc_id"), "ord", "block_id", "block_type", "text")
+    """Blocks for the question pipeline: doc_id from the path, paragraphs and tables that stand in nothing else, with their inline nodes and cells."""
+    return found.filter("parent_block_id is null and error is null").select(F.xxhash64("path").alias("doc_id"), "ord", "block_id", "block_type", "text", "children", "inline_content")
+
+
+def flat_lines(found: DataFrame) -> DataFrame:
+    """(path, ord, line_no, line): every line of the files in reading order, those in table cells too; blank ones are left out."""
+    each = found.filter("block_type = 'paragraph' and error is null").select("path", "ord", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return each.withColumn("line", strip(F.col("line"))).filter("line <> ''")
 
 
 def table_cells(found: DataFrame) -> DataFrame:

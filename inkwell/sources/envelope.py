@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkwell.functions.text import strip
 from inkwell.operators.pipeline import Bank
 
 VERSION = "2.0"
@@ -29,12 +30,12 @@ def write(bank: Bank, path: str) -> None:
     envelopes(bank).select(F.col("json").alias("value")).write.mode("overwrite").text(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(file, question fields) of envelopes or bare arrays of questions, one JSON value per file or line."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("v"))
+def read(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """(file, question fields) of envelopes or bare arrays of questions: one JSON value a line, or with whole one a file, indented as it may be."""
+    text = spark.read.text(path, wholetext=whole).select(F.input_file_name().alias("file"), strip(F.col("value")).alias("v"))
     bare = F.from_json("v", f"array<{QUESTION}>")
     wrapped = F.from_json("v", f"struct<questions:array<{QUESTION}>>")["questions"]
-    return lines.select("file", F.explode(F.when(F.col("v").startswith("["), bare).otherwise(wrapped)).alias("q")).select("file", "q.*")
+    return text.select("file", F.explode(F.when(F.col("v").startswith("["), bare).otherwise(wrapped)).alias("q")).select("file", "q.*")
 
 
 def checked(q: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 from inkwell.functions.linetext import parse_lines, parse_raw
+from inkwell.operators import lineparse
 from inkwell.operators.lineparse import parsed
 
 FOUR = "(A) one (B) two (C) three (D) four"
@@ -36,3 +37,15 @@ def test_raw():
     assert r == {"stem": "12. Which cell?", "options": {"A": "K one wrapped", "B": "two", "C": "three", "D": "stray"}, "chapter": "Electrochemistry", "spill": {}, "leftovers": ["2020"]}
     r = parse_raw("(A) early\n1. x\n(A) a\nIdentify:\n(B) b")
     assert r["spill"] == {"A": "early"} and r["options"] == {"A": "a Identify:", "B": "b"} and parse_raw("")["options"] == {}
+
+
+def test_raw_rows(spark):
+    raw = "For: Boards\nOptics and Waves:\n(C) early\nQ7) Which lens?\n(A) thin\nand flat\n(B) thick"
+    rows = spark.createDataFrame([(1, raw, "x"), (2, None, "x"), (3, "no number\n(A) x", "x"), (4, "1. stem\n" + "(A) a\n" + "wrapped\n" * 20_000, "x")], "id bigint, t string, stem string")
+    got = {r.id: r for r in lineparse.parsed_raw(rows, "id", "t").collect()}
+    assert (got[1].stem, got[1].options, got[1].chapter, got[1].spill, got[1].leftovers) == ("Q7) Which lens?", {"A": "thin and flat", "B": "thick", "C": "early"}, "Optics and Waves", {}, [])
+    assert got[2].stem == "" and got[2].options == {} and got[3].stem == "no number\n(A) x" and got[4].options["A"].count("wrapped") == 20_000
+    assert lineparse.parsed_raw(rows.limit(0), "id", "t").count() == 0
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(["1. Which? (A) a (B) b (C) c (D) d", "2. of no kind"])], "doc_id bigint, ord int, line string")
+    good, bad = lineparse.outcomes(lineparse.parsed(lines))
+    assert [r.q_seq for r in good.collect()] == [1] and [r.q_seq for r in bad.collect()] == [2]

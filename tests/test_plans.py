@@ -19,10 +19,10 @@ def stored(tmp_path, **tables):
 def test_heights_of_every_question(spark, sf, tmp_path):
     odd = ["", " ", "é" * 79, "a\n\n" + "𝒙" * 157, "\u00a0\u2003" + "ж" * 78 + "\u3000", "a\r\nb", "plain"]
     df = spark.createDataFrame([*enumerate(odd), (90, None), (None, "x")], "question_uid bigint, question string")
-    got = {r.question_uid: r.height for r in text.q_content_height_all(spark, stored(tmp_path, questions=df)).collect()}
+    got = {r.question_uid: r.height for r in text.q_content_height(spark, stored(tmp_path, questions=df)).collect()}
     assert got == {i: round(height(t, 12.0, 18), 6) for i, t in enumerate(odd)}
     q = pd.read_parquet(f"{sf}/questions.parquet").dropna(subset=["question_uid", "question"]).groupby("question_uid")["question"].min()
-    got = {r.question_uid: r.height for r in text.q_content_height_all(spark, sf).collect()}
+    got = {r.question_uid: r.height for r in text.q_content_height(spark, sf).collect()}
     assert got == {u: round(height(t, 12.0, 18), 6) for u, t in q.items()}
 
 
@@ -35,8 +35,8 @@ def test_fits_of_all_options(spark, sf, tmp_path):
     four = {"A": "1", "B": "2", "C": "3", "D": "4"}
     odd = [four, four | {"A": "a\nb"}, four | {"A": "a\nb\nc"}, four | {"B": "é" * 32}, four | {"B": "é" * 33}, four | {"C": "\u00a0\u2003"}, four | {"D": "\u3000ж\n"}, four | {"D": None}, {"A": "ж"}, {}]
     df = spark.createDataFrame([*enumerate(odd), (90, None), (None, four)], "question_uid bigint, options map<string,string>")
-    got = {r.question_uid: r.fits for r in text.q_fit_1x4_all(spark, stored(tmp_path, questions=df)).collect()}
+    got = {r.question_uid: r.fits for r in text.q_fit_1x4(spark, stored(tmp_path, questions=df)).collect()}
     assert got == {i: fits(o) for i, o in enumerate(odd)} and [got[1], got[2]] == [True, False]
     q = pd.read_parquet(f"{sf}/questions.parquet").dropna(subset=["question_uid", "options"]).drop_duplicates("question_uid")
-    got = {r.question_uid: r.fits for r in text.q_fit_1x4_all(spark, sf).collect()}
+    got = {r.question_uid: r.fits for r in text.q_fit_1x4(spark, sf).collect()}
     assert got == {u: fits(dict(o)) for u, o in zip(q["question_uid"], q["options"], strict=True)}

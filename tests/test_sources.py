@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import zipfile
 
+from inkwell.functions.mathtree import tree_latex
 from inkwell.operators.pipeline import build
 from inkwell.sources import docx, envelope
 from inkwell.streaming.blocks import arriving, windowed
@@ -47,6 +48,27 @@ def test_docx(spark, tmp_path):
     assert [(x.name, bytes(x.content)) for x in docx.media(spark, str(tmp_path)).collect()] == [("word/media/p.png", b"png")]
     q = build(docx.top_blocks(docx.blocks(spark, str(tmp_path)))).questions.orderBy("q_seq").collect()
     assert [x.source_question_number for x in q] == ["1", "2"]
+    assert q[1].table.headers == ["h1", "h2"] and q[1].table.rows[1] == ["c1", ""]
+    lines = [x.line for x in docx.flat_lines(docx.blocks(spark, str(tmp_path))).orderBy("ord", "line_no").collect()]
+    assert lines == ["1. Which?", "(a) sub", "(b) sub", "2. next", "(a) again", text[5], "h1", "h2", "c1", "deep", "[IMG: media/p.png]", "(A) one", "more", "(B) two"]
+    nodes = [json.loads(x.inline_content) for x in good if x.text == text[5]][0]
+    assert [(n["kind"], n["value"], n.get("vertical_align")) for n in nodes[:3]] == [("text", "Fe", None), ("text", "2+", "superscript"), ("text", "x", "subscript")]
+    fraction, power = nodes[3]["children"]
+    assert nodes[3]["kind"] == "math_sequence" and fraction["kind"] == "fraction" and [k["kind"] for k in fraction["children"]] == ["numerator", "denominator"]
+    assert tree_latex(nodes[3]) == r"\frac{a}{\sqrt{b}}x^{2}" and [k["kind"] for k in power["children"]] == ["base", "superscript"]
+    last = [json.loads(x.inline_content) if x.inline_content else None for x in good if x.parent_block_id is None][-3:]
+    assert last[0] == [{"kind": "image", "value": "media/p.png"}] and [n["kind"] for n in last[1]] == ["text", "line_break", "text", "line_break", "text"] and last[2] is None
+
+
+def test_inline_formats(spark, tmp_path):
+    bold = '<w:r><w:rPr><w:b/><w:i w:val="0"/></w:rPr><w:t>so</w:t><w:tab/></w:r>'
+    nary = f'<m:oMathPara><m:oMath><m:nary><m:naryPr><m:chr m:val="∑"/></m:naryPr><m:sub>{m("i")}</m:sub><m:sup>{m("n")}</m:sup><m:e>{m("k")}</m:e></m:nary><m:m><m:mr><m:e>{m("1")}</m:e><m:e>{m("2")}</m:e></m:mr></m:m></m:oMath></m:oMathPara>'
+    save(tmp_path / "b.docx", p(bold + nary))
+    (row,) = docx.blocks(spark, str(tmp_path)).collect()
+    nodes = json.loads(row.inline_content)
+    assert nodes[:2] == [{"kind": "text", "value": "so", "formatting": {"bold": True, "italic": False}}, {"kind": "text", "value": "\t", "formatting": {"bold": True, "italic": False}}]
+    inner = nodes[2]["children"][0]
+    assert inner["children"][0]["formatting"] == {"operator": "∑"} and tree_latex(inner) == r"\sum_{i}^{n} k\begin{matrix}1 & 2\end{matrix}"
 
 
 def test_envelope(spark, tmp_path):
@@ -61,6 +83,8 @@ def test_envelope(spark, tmp_path):
     assert {x.question for x in back.collect()} == {"Which?", "Why é?", "Find $x$."}
     (tmp_path / "bare.json").write_text('[{"q_seq": 1, "question": "x", "parsed_ok": true, "needs_review": false}]')
     assert envelope.read(spark, str(tmp_path / "bare.json")).first().question == "x"
+    (tmp_path / "indented.json").write_text(json.dumps({"questions": [{"q_seq": 1, "question": "é y", "options": {"A": "1"}, "parsed_ok": True, "needs_review": False}, {"q_seq": 2, "question": None}]}, indent=2, ensure_ascii=False))
+    assert [(x.q_seq, x.question) for x in envelope.read(spark, str(tmp_path / "indented.json"), whole=True).collect()] == [(1, "é y"), (2, None)]
 
 
 def test_stream(spark, tmp_path):
