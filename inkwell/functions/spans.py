@@ -13,6 +13,25 @@ _YEAR = r"\b(?:19|20)\d{2}(?![0-9])"
 YEAR_TAG = r"\s*\(\s*(\d{4}[A-Za-z]?(?:-\d)?(?:\s*,\s*\d{4}[A-Za-z]?(?:-\d)?)*)\s*\)\s*$"
 
 
+# Stand-ins for opening brackets that nothing closes; the search for their end would read the rest of the text each time.
+_OPEN, _UNCLOSED = "[(", "\ue010\ue011"
+
+
+def _closable(text: Column) -> Column:
+    """The text with stand-ins for the opening brackets behind the last closing one of their kind, so that every bracket left has an end."""
+
+    def marked(t: Column, opening: str, closing: str, sign: str) -> Column:
+        rest = F.substring_index(t, closing, -1)
+        return F.concat(F.substring(t, F.lit(1), F.length(t) - F.length(rest)), F.translate(rest, opening, sign))
+
+    both = marked(marked(text, "[", "]", _UNCLOSED[0]), "(", ")", _UNCLOSED[1])
+    return F.when(text.contains("[") | text.contains("("), both).otherwise(text)
+
+
+def _restored(text: Column) -> Column:
+    return F.translate(text, _UNCLOSED, _OPEN)
+
+
 def _is_citation(bracket: Column) -> Column:
     return has(inner(bracket), _YEAR) & ~is_math_like(inner(bracket))
 
@@ -21,16 +40,16 @@ def appearances(text: Column) -> Column:
     """What the bracketed years of a text say, in order: lists are taken apart if all their parts look like years, else they stay whole."""
 
     def parts(b: Column) -> Column:
-        c = inner(b)
+        c = inner(_restored(b))
         each = F.transform(F.split(c, ",", -1), strip)
         listed = c.contains(",") & has(c, r"(?U)^[\d\w\s,-]+$") & F.forall(each, lambda p: p.rlike(r"^\d{2,4}[a-zA-Z\d-]*$"))
         return F.when(listed, each).otherwise(F.array(strip(c)))
 
-    return F.flatten(F.transform(F.filter(all_of(text, _BRACKETS), _is_citation), parts))
+    return F.flatten(F.transform(F.filter(all_of(_closable(text), _BRACKETS), _is_citation), parts))
 
 
 def without_citations(text: Column) -> Column:
-    return strip(swap(text, _BRACKETS, lambda b: F.when(_is_citation(b), F.lit("")).otherwise(b)))
+    return strip(_restored(swap(_closable(text), _BRACKETS, lambda b: F.when(_is_citation(b), F.lit("")).otherwise(b))))
 
 
 def inline_parts(text: Column) -> Column:

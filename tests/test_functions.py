@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +128,12 @@ def test_predicates(spark):
 def test_nulls(spark, t):
     for f in (P.is_section_header, P.question_number, P.is_heading, S.appearances, S.without_citations, chem.attached_subscripts, P.is_formula):
         assert column(spark, f, [t, "x"])[0] in (None, False)
+
+
+def test_brackets_that_nothing_closes(spark):
+    texts = ["(2014) " + "( [ " * 250_000 + "(2015", "( [ x (2016) ] y", "a [2017 (b) c", "[ (2018) ( ] (", None]
+    begin = time.perf_counter()
+    got = column(spark, lambda t: F.struct(S.appearances(t).alias("a"), S.without_citations(t).alias("w")), texts)
+    assert time.perf_counter() - begin < 10
+    assert got[0].a == ["2014"] and got[0].w == ("( [ " * 250_000 + "(2015")
+    assert (got[1].a, got[1].w) == (["[ x (2016"], "] y") and (got[2].a, got[2].w) == ([], "a [2017 (b) c") and (got[3].a, got[3].w) == (["(2018) ("], "(")
