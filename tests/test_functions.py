@@ -134,6 +134,6 @@ def test_brackets_that_nothing_closes(spark):
     texts = ["(2014) " + "( [ " * 250_000 + "(2015", "( [ x (2016) ] y", "a [2017 (b) c", "[ (2018) ( ] (", None]
     begin = time.perf_counter()
     got = column(spark, lambda t: F.struct(S.appearances(t).alias("a"), S.without_citations(t).alias("w")), texts)
-    assert time.perf_counter() - begin < 10
+    assert time.perf_counter() - begin < 60  # a few seconds where nothing else runs
     assert got[0].a == ["2014"] and got[0].w == ("( [ " * 250_000 + "(2015")
     assert (got[1].a, got[1].w) == (["[ x (2016"], "] y") and (got[2].a, got[2].w) == ([], "a [2017 (b) c") and (got[3].a, got[3].w) == (["(2018) ("], "(")
