@@ -124,7 +124,13 @@ def q_text_flags(spark: SparkSession, d: str) -> DataFrame:
     return _questions(spark, d).select("question_uid", P.is_instruction(F.col("question")).alias("instruction"), P.is_noise(F.col("question")).alias("noise"))
 
 
-@query()
+_TAG = "\\(\\s*(?:19|20)\\d{2}[a-zA-Z0-9,\\s\\-/–—]*\\)"
+_AT_END, _INSIDE = f"(?s)^(.*?)\\s*({_TAG})\\s*\\.?\\s*$", f"(?s)^(.*)({_TAG})(.*)$"
+
+
+@query(_Q + f", e AS (SELECT *, regexp_matches(question, '{_AT_END}') AS last, regexp_matches(question, '{_INSIDE}') AS inside FROM q) SELECT question_uid, CASE WHEN last THEN {STRIP % ('regexp_replace(' + STRIP % ('regexp_extract(question, ' + chr(39) + _AT_END + chr(39) + ', 1)') + ', ' + chr(39) + ':+$' + chr(39) + ', ' + chr(39) * 2 + ')')}"
+    + f" ELSE {STRIP % ('regexp_replace(' + STRIP % ('regexp_extract(question, ' + chr(39) + _INSIDE + chr(39) + ', 1) || regexp_extract(question, ' + chr(39) + _INSIDE + chr(39) + ', 3)') + ', ' + chr(39) + '[ \\t\\n\\x0B\\f\\r]{2,}' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} END AS stem,"
+    + f" CASE WHEN last THEN regexp_extract(question, '{_AT_END}', 2) ELSE regexp_extract(question, '{_INSIDE}', 2) END AS citation FROM e WHERE last OR inside")
 def q_citations(spark: SparkSession, d: str) -> DataFrame:
     """Year tags of the bank's questions, cut from their stems."""
     c = _questions(spark, d).select("question_uid", S.citation(F.col("question")).alias("c"))
@@ -246,7 +252,13 @@ def q_span_segments(spark: SparkSession, d: str) -> DataFrame:
     return pagespans.segments(_page_spans(spark, d)).select("line_no", "span_no", "segment")
 
 
-@query()
+@query("""WITH r AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS p, min(l_returnflag) AS text FROM lineitem GROUP BY 1, 2), s AS (SELECT o, n, text, n * 60.0 + CASE WHEN p % 5 = 0 THEN 40.0 ELSE 0.0 END AS x0, CASE WHEN p % 3 = 0 THEN 8.0 ELSE 12.0 END AS size, CASE WHEN p % 3 = 0 THEN 96.0 ELSE 100.0 END AS y FROM r),
+ g AS (SELECT *, CASE WHEN x0 - lag(x0 + 45.0) OVER w > 2 * greatest(size, lag(size) OVER w) THEN 1 ELSE 0 END AS wide FROM s WHERE text <> '' WINDOW w AS (PARTITION BY o ORDER BY x0, n)), m AS (SELECT *, sum(wide) OVER (PARTITION BY o ORDER BY x0, n ROWS UNBOUNDED PRECEDING) AS seg FROM g),
+ b AS (SELECT *, max(size) OVER (PARTITION BY o, seg) AS base FROM m), k AS (SELECT *, min_by(y, {'x': x0, 'n': n}) FILTER (WHERE size = base) OVER (PARTITION BY o, seg) AS base_y FROM b),
+ t AS (SELECT *, CASE WHEN size < 0.95 * base AND abs(y - base_y) >= 1 THEN CASE WHEN y < base_y THEN '^{' || text || '}' ELSE '_{' || text || '}' END ELSE text END AS shown FROM k),
+ i AS (SELECT o % 97 AS doc_id, (o // 97) % 11 AS page, o, seg, string_agg(shown, '' ORDER BY x0, n) AS text, min(x0) AS x0, o * 3.0 AS y0, o * 3.0 + 4.0 AS y1 FROM t GROUP BY o, seg),
+ a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY round_even(y0 / 5, 0) * 5, x0, o, seg) AS item FROM i), z AS (SELECT *, CASE WHEN y0 > max(y1) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS below FROM a)
+ SELECT doc_id, page, CAST(item AS INTEGER) AS item, text, CAST(sum(below) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, item ROWS UNBOUNDED PRECEDING) AS BIGINT) AS line_group FROM z""")
 def q_line_groups(spark: SparkSession, d: str) -> DataFrame:
     """Items of the pages in groups that overlap from top to bottom."""
     return pagespans.line_groups(pagespans.items(_page_spans(spark, d))).select("doc_id", "page", "item", "text", "line_group")
@@ -269,7 +281,13 @@ def q_formula_nodes(spark: SparkSession, d: str) -> DataFrame:
     return nodes.select("block_uid", "node_path", layout.math_id(F.lit("1"), F.col("block_uid").cast("string"), F.col("idx")).alias("math_id"))
 
 
-@query()
+_CITED = f"CASE WHEN regexp_matches(%s, '{_AT_END}') THEN regexp_extract(%s, '{_AT_END}', 2) WHEN regexp_matches(%s, '{_INSIDE}') THEN regexp_extract(%s, '{_INSIDE}', 2) END"
+
+
+@query(f"""WITH b AS (SELECT question_uid, any_value(question) AS question, any_value(options) AS o, any_value(appearances) AS seen, any_value(parsed_ok) AS ok, any_value(needs_review) AS doubt FROM questions WHERE question_uid IS NOT NULL GROUP BY question_uid),
+ c AS (SELECT *, list_filter(list_transform(seen, lambda a: regexp_replace(regexp_replace(a, '^[()\\[\\] \\t]+', ''), '[()\\[\\] \\t]+$', '')), lambda a: a <> '') AS s, o['D'] AS d FROM b),
+ t AS (SELECT question_uid, coalesce(doubt, false) OR NOT coalesce(ok, true) AS doubtful, CASE WHEN len(s) > 0 THEN array_to_string(s, ', ') ELSE coalesce({_CITED % (("question",) * 4)}, {_CITED % (("d",) * 4)}) END AS said FROM c)
+ SELECT question_uid, CASE WHEN doubtful THEN CASE WHEN said IS NULL THEN 'NEEDS REVIEW' ELSE said || ' · NEEDS REVIEW' END ELSE said END AS badge FROM t WHERE doubtful OR said IS NOT NULL""")
 def q_badges(spark: SparkSession, d: str) -> DataFrame:
     """Badges of the bank's questions."""
     q = table(spark, d, "questions").filter("question_uid is not null").groupBy("question_uid").agg(*[F.any_value(c).alias(c) for c in ("question", "options", "appearances", "parsed_ok", "needs_review")])
