@@ -225,6 +225,31 @@ def q_features(spark: SparkSession, d: str) -> DataFrame:
     return _bank(spark, d).questions.select("doc_id", "q_seq", *[f"features.{n}" for n in names])
 
 
+_MARK = "\\(\\s*%s\\s*\\)\\s+"
+_ITEMS = ", ".join(
+    f"CASE WHEN regexp_matches(body, '(?i)(?:^|\\n){_MARK % c}') THEN {{'label': '{c}', 'text': trim(regexp_extract(body, '(?is)(?:^|\\n){_MARK % c}(.*?)(?:" + (f"\\n{_MARK % n}|" if n else "") + "$)', 1), ' ' || chr(10))} END" for c, n in zip("abcdefgh", [*"bcdefgh", ""])
+)
+_PAIR = "(?is)(?:^|\\n)Statement\\s*(I|1)\\s*[:.]\\s+(.*?)\\nStatement\\s*(II|2)\\s*[:.]\\s+(.*)$"
+_LINES = "list_sum(list_transform(string_split(text, chr(10)), lambda x: greatest(1, ceil(len(trim(x)) / 78.0))))"
+_SLIDES = f""", sub0 AS (SELECT *, regexp_matches(stem, '(?i)(?:^|\\n){_MARK % "a"}') AS listed, regexp_extract(stem0, '{_PAIR}', ['l1', 't1', 'l2', 't2']) AS pair FROM checked),
+sub1 AS (SELECT *, CASE WHEN listed THEN regexp_replace(stem, '(?is)(?:^|\\n){_MARK % "a"}.*$', '') ELSE stem END AS front FROM sub0), sub2 AS (SELECT *, substr(stem, len(front) + 1) AS body FROM sub1),
+sub3 AS (SELECT *, CASE WHEN listed THEN [{_ITEMS}] ELSE [] END AS items FROM sub2), sub4 AS (SELECT *, coalesce(list_position(list_transform(items, lambda x: x IS NULL), true), len(items) + 1) - 1 AS n_items FROM sub3),
+comp AS (SELECT doc_id, q_seq, list_concat([{{'id': 'question', 'text': trim(front, ' ' || chr(10))}}], CASE WHEN stem <> stem0 THEN [{{'id': 'statement:1', 'text': pair.l1 || '. ' || trim(pair.t1, ' ' || chr(10))}}, {{'id': 'statement:2', 'text': pair.l2 || '. ' || trim(pair.t2, ' ' || chr(10))}}] ELSE [] END,
+  list_transform(range(1, n_items + 1), lambda i: {{'id': 'subpart:' || i, 'text': items[i].label || ' ' || items[i].text}}),
+  CASE WHEN four THEN [{{'id': 'option:A', 'text': '(A) ' || opt_a}}, {{'id': 'option:B', 'text': '(B) ' || opt_b}}, {{'id': 'option:C', 'text': '(C) ' || opt_c}}, {{'id': 'option:D', 'text': '(D) ' || opt_d}}] ELSE [] END) AS cs FROM sub4),
+each_ AS (SELECT doc_id, q_seq, i - 1 AS comp_seq, cs[i].id AS component_id, cs[i].text AS text FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS i FROM comp)),
+sized AS (SELECT *, CASE WHEN text = '' THEN 0.35 ELSE greatest(0.35, CAST({_LINES} AS DOUBLE) * 0.333) END + 0.05 AS height FROM each_),
+placed AS (SELECT doc_id, q_seq, comp_seq, component_id, height, 1 AS slide, CAST(1.25 AS DOUBLE) AS y FROM sized WHERE comp_seq = 0
+  UNION ALL SELECT n.doc_id, n.q_seq, n.comp_seq, n.component_id, n.height, p.slide + CASE WHEN p.y + p.height + n.height > 7.1 AND p.y + p.height > 1.55 THEN 1 ELSE 0 END, CASE WHEN p.y + p.height + n.height > 7.1 AND p.y + p.height > 1.55 THEN 1.25 ELSE p.y + p.height END
+  FROM placed p JOIN sized n ON n.doc_id = p.doc_id AND n.q_seq = p.q_seq AND n.comp_seq = p.comp_seq + 1)"""
+
+
+@query(CHECKS + _SLIDES + " SELECT doc_id, q_seq, CAST(comp_seq AS INTEGER) AS comp_seq, component_id, round(height, 4) AS height, slide, round(y, 4) AS y FROM placed")
+def q_exam_slides(spark: SparkSession, d: str) -> DataFrame:
+    """Components of the exam lines' questions on slides."""
+    return layout.paginated(layout.components(_bank(spark, d).questions)).drop("text").withColumn("height", F.round("height", 4))
+
+
 _LEDGER = """, own AS (SELECT doc_id, ord, min(q_seq) AS q_seq FROM seg GROUP BY doc_id, ord), spans AS (SELECT doc_id, q_seq, min(ord) AS first_ord FROM seg GROUP BY doc_id, q_seq),
 cites AS (SELECT r.doc_id, r.ord, coalesce(max(s.q_seq) FILTER (WHERE s.first_ord < r.ord), min(s.q_seq)) AS q_seq FROM rows_ r JOIN spans s USING (doc_id) WHERE NOT r.is_noise AND r.text = '' AND len(r.apps) > 0 GROUP BY r.doc_id, r.ord),
 book AS (SELECT r.doc_id, r.ord, CASE WHEN r.is_noise THEN 'ignored_with_reason' WHEN coalesce(own.q_seq, cites.q_seq) IS NOT NULL THEN 'consumed' WHEN r.head IS NOT NULL THEN 'ignored_with_reason' ELSE 'orphaned' END AS status,
