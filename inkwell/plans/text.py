@@ -264,6 +264,14 @@ def q_line_groups(spark: SparkSession, d: str) -> DataFrame:
     return pagespans.line_groups(pagespans.items(_page_spans(spark, d))).select("doc_id", "page", "item", "text", "line_group")
 
 
+@query()
+def q_page_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs of the pages, with a drawn rule under every eleventh line."""
+    spans = _page_spans(spark, d)
+    drawn = spans.filter("line_no % 11 = 0").groupBy("doc_id", "page", "line_no").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("line_y1").alias("y0"))
+    return pagespans.page_blocks(spans, drawn.select("doc_id", "page", F.lit("line").alias("kind"), "x0", "y0", "x1", F.col("y0").alias("y1")))
+
+
 @query()
 def q_formula_trees(spark: SparkSession, d: str) -> DataFrame:
     """LaTeX of the formula trees anywhere in the blocks, also in nested rows, cells and paragraphs, with their places. Runs, which repeat a formula as flat text, are left out."""

@@ -77,3 +77,15 @@ def test_layout(spark):
     known = spark.createDataFrame([("a",), ("b",)], "math_id string")
     seen = spark.createDataFrame([("a", "failed", 1), ("a", "ok", 2)], "math_id string, status string, seq int")
     assert {tuple(r) for r in layout.reconciled(known, seen).collect()} == {("a", "ok"), ("b", "failed")}
+
+
+def test_page_blocks(spark):
+    schema = "doc_id bigint, page bigint, line_no bigint, span_no bigint, text string, size double, x0 double, x1 double, y double, line_y0 double, line_y1 double"
+    span = lambda page, line, text, x0, y, high=10.0: (1, page, line, 0, text, 12.0, x0, x0 + 20.0, y, y, y + high)
+    rows = [span(page, 0, "Header", 10.0, 1.0) for page in (1, 2, 3, 4)] + [span(1, 1, "a", 50.0, 40.0), span(1, 2, "b", 50.0, 56.0), span(1, 3, "+ c", 90.0, 48.0), span(1, 4, "next line", 10.0, 90.0), span(2, 1, "other page", 10.0, 40.0)]
+    spans = spark.createDataFrame(rows, schema)
+    drawings = spark.createDataFrame([(1, 1, "line", 72.0, 53.0, 48.0, 53.5), (1, 1, "line", 0.0, 0.0, 0.0, 300.0), (1, 1, "rect", 0.0, 0.0, 500.0, 300.0), (1, 1, "line", 1.0, 80.0, 3.0, 80.0)], "doc_id bigint, page bigint, kind string, x0 double, y0 double, x1 double, y1 double")
+    assert [tuple(r) for r in pagespans.rules(drawings).collect()] == [(1, 1, 48.0, 72.0, 52.25, 54.25)]
+    got = pagespans.page_blocks(spans, drawings).orderBy("ord").collect()
+    assert [(r.page, r.ord, r.block_id, r.text) for r in got] == [(1, 1, "1", "\\frac{a}{b} + c"), (1, 2, "2", "next line"), (2, 3, "3", "other page")]
+    assert pagespans.page_blocks(spans.limit(0), drawings).count() == 0 and pagespans.page_blocks(spans).count() == 3
