@@ -29,6 +29,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _SPLIT = regex.compile(PATTERN)
 #: Characters of a block's texts; a longer text is a block of its own.
 BLOCK_CHARS = 1 << 20
+#: Words in one row, so that no row is large.
+WORDS_PER_ROW = 2048
 #: Blocks in one partition where their ids are put in: some 20 MB, whatever the size of the corpus.
 BLOCKS_PER_PART = 4
 
@@ -77,20 +79,23 @@ class _Block:
         self.chars += len(text or "")
 
     def rows(self, kind: pa.DataType) -> pa.RecordBatch:
-        """A row for each text, and one with the words; positions take two bytes where that is enough."""
-        n, width = len(self.keys), np.uint16 if len(self.place) <= 1 << 16 else np.uint32
+        """A row for each text, and the words in rows of WORDS_PER_ROW; positions take two bytes where that is enough."""
+        n, width, words = len(self.keys), np.uint16 if len(self.place) <= 1 << 16 else np.uint32, list(self.place)
+        begins = range(0, max(len(words), 1), WORDS_PER_ROW)
+        m = len(begins)
         columns = [
-            pa.array([self.blk] * (n + 1), pa.int64()),
-            pa.array([*self.keys, None], kind),
-            pa.array([*(a.astype(width).tobytes() for a in self.at), None], pa.binary()),
-            pa.array([width is np.uint32] * (n + 1), pa.bool_()),
-            pa.array([None] * n + [list(self.place)], pa.list_(pa.string())),
+            pa.array([self.blk] * (n + m), pa.int64()),
+            pa.array([*self.keys, *[None] * m], kind),
+            pa.array([*(a.astype(width).tobytes() for a in self.at), *[None] * m], pa.binary()),
+            pa.array([width is np.uint32] * (n + m), pa.bool_()),
+            pa.array([None] * n + list(begins), pa.int32()),
+            pa.array([None] * n + [words[k : k + WORDS_PER_ROW] for k in begins], pa.list_(pa.string())),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["blk", "doc_id", "at", "wide", "words"])
+        return pa.RecordBatch.from_arrays(columns, names=["blk", "doc_id", "at", "wide", "begin", "words"])
 
 
 def placed_words(docs: DataFrame, key: str, text: str, chars: int = BLOCK_CHARS) -> DataFrame:
-    """(blk, doc_id, at, wide, words): each text as positions, and a row with the words of each block, in which at is null."""
+    """(blk, doc_id, at, wide, begin, words): each text as positions; and the words of each block from begin on, in rows in which at is null."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +112,7 @@ def placed_words(docs: DataFrame, key: str, text: str, chars: int = BLOCK_CHARS)
         if block.keys:
             yield block.rows(last)
 
-    return docs.select(key, text).mapInArrow(run, f"blk bigint, doc_id {kind}, at binary, wide boolean, words array<string>")
+    return docs.select(key, text).mapInArrow(run, f"blk bigint, doc_id {kind}, at binary, wide boolean, begin int, words array<string>")
 
 
 def _flat(held: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,9 +139,9 @@ def _put_back(texts: pa.Table, words: pa.Table) -> pa.Table:
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, ids): the ids of each row's text. Null and empty texts have an empty list; repeated and null keys each keep their row; other columns are ignored."""
     cut = checkpointed(placed_words(docs, key, text, chars))
-    per_block = cut.filter("words is not null").select("blk", "words")
-    n = shuffle_parts(docs.sparkSession, per_block.count(), BLOCKS_PER_PART)
-    each = per_block.select("blk", F.posexplode("words").alias("pos", "word"))
+    per_block = cut.filter("words is not null").select("blk", "begin", "words")
+    n = shuffle_parts(docs.sparkSession, per_block.filter("begin = 0").count(), BLOCKS_PER_PART)
+    each = per_block.select("blk", "begin", F.posexplode("words").alias("k", "word")).select("blk", (F.col("begin") + F.col("k")).alias("pos"), "word")
     known = merged(each, encode_words(each.select("word").distinct(), vocabulary), "word").select(F.col("blk").alias("of_blk"), "pos", "ids")
     texts = cut.filter("at is not null").select("blk", "doc_id", "at", "wide").repartition(n, "blk")
     kind = docs.schema[key].dataType.simpleString()
