@@ -14,7 +14,7 @@ from inkwell.session import checkpointed
 class Bank:
     """All tables of a question bank; each is planned when it is first asked for.
 
-    rows: prepared blocks; parts: with q_seq; numbers: numbering events; questions: validated records; ledger: one row per block; diagnostics: one row per document.
+    rows: prepared blocks; parts: with q_seq; numbers: numbering events; records: questions before validation; questions: validated, with their citations, tables and inline nodes; ledger: one row per block; diagnostics: one row per document.
     rows and parts, from which all others come, are computed once and kept in checkpoints: the scan, the exchange by document and the fold are not repeated for each table.
     """
 
@@ -37,9 +37,13 @@ class Bank:
     def cited(self) -> DataFrame:
         return ledger.citation_targets(ledger.citation_blocks(self.rows), self.parts)
 
+    @cached_property
+    def records(self) -> DataFrame:
+        return assemble.records(self.parts, self.numbers)
+
     @cached_property
     def validated(self) -> DataFrame:
-        return ledger.with_citations(assemble.validated(assemble.records(self.parts, self.numbers)), self.cited)
+        return ledger.with_citations(assemble.validated(self.records), self.cited)
 
     @cached_property
     def questions(self) -> DataFrame:

@@ -150,14 +150,14 @@ def q_numbering_events(spark: SparkSession, d: str) -> DataFrame:
 @query(FLAGS_HEAD + FLAGS + RECORDS + " SELECT doc_id, q_seq, opt_a, opt_b, opt_c, opt_d FROM q1 WHERE four")
 def q_options_extract(spark: SparkSession, d: str) -> DataFrame:
     """Options of the questions that have all four."""
-    q = _bank(spark, d).questions.filter(F.size("options") > 0)
+    q = _bank(spark, d).records.filter(F.size("options") > 0)
     return q.select("doc_id", "q_seq", *[F.col("options")[c].alias(f"opt_{c.lower()}") for c in "ABCD"])
 
 
 @query(FLAGS_HEAD + FLAGS + RECORDS + " SELECT section, count(*) AS n, count(*) FILTER (WHERE four) AS complete, count(label) AS numbered FROM q1 GROUP BY section")
 def q_missing_options(spark: SparkSession, d: str) -> DataFrame:
     """Questions, those with all options and those with a number, by section."""
-    q = _bank(spark, d).questions
+    q = _bank(spark, d).records
     return q.groupBy("section").agg(F.count("*").alias("n"), F.count_if(F.size("options") == 4).alias("complete"), F.count_if(F.col("source_question_number").isNotNull()).alias("numbered"))
 
 
@@ -174,7 +174,7 @@ typed AS (SELECT *, CASE WHEN ar THEN 'assertion_reason' WHEN st OR regexp_match
 @query(FLAGS_HEAD + FLAGS + RECORDS + _TYPES + " SELECT question_type, count(*) AS n FROM typed GROUP BY question_type")
 def q_question_types(spark: SparkSession, d: str) -> DataFrame:
     """How many questions there are of each type."""
-    return _bank(spark, d).questions.groupBy("question_type").agg(F.count("*").alias("n"))
+    return _bank(spark, d).records.groupBy("question_type").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -222,7 +222,7 @@ def q_quality_score(spark: SparkSession, d: str) -> DataFrame:
 def q_features(spark: SparkSession, d: str) -> DataFrame:
     """The features from which the type of each question follows."""
     names = ("option_count", "has_options", "has_assertion", "has_reason", "has_equation", "has_statement_list", "has_blank", "has_table", "has_image")
-    return _bank(spark, d).questions.select("doc_id", "q_seq", *[f"features.{n}" for n in names])
+    return _bank(spark, d).records.select("doc_id", "q_seq", *[f"features.{n}" for n in names])
 
 
 _MARK = "\\(\\s*%s\\s*\\)\\s+"
