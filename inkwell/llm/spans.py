@@ -13,7 +13,7 @@ all texts share costs each of them once.
 Which texts share a span (pairs): the stretches around shared anchors (zones) are cut into shards of at most SHARD characters, and
 the zones of every text with a common anchor are streamed through the automaton of a shard. The pairs are the result, so their number is its size.
 
-An automaton takes 42 bytes for each character: arrays of states and of edges, a dictionary for the root only.
+An automaton takes 42 bytes for each character, in arrays of states and of edges; only the few states near the root have dictionaries.
 """
 
 from __future__ import annotations
@@ -37,7 +37,9 @@ K = 64
 CELL = 256
 #: Texts streamed through one copy of an automaton; more are spread over several.
 PARTNERS = 64
-#: Characters of a reference shard: 11 MB as an automaton.
+#: States of so few characters keep their edges in dictionaries.
+NEAR = 4
+#: Characters of a reference shard: some 15 MB as an automaton.
 SHARD = 1 << 18
 
 
@@ -96,12 +98,12 @@ def zones(positions: np.ndarray, n: int, length: int = LENGTH, k: int = K) -> li
 class SuffixAutomaton:
     """All substrings of the given texts; built character by character, a fresh start for each text.
 
-    Edges are linked lists in arrays (character, target, next edge of the same state), but for the root, whose many edges are a dictionary.
-    Loops are written out, since every character goes through them.
+    The edges of a state are a linked list in arrays (character, target, next edge). States of at most NEAR characters have many
+    edges and are few, so theirs are dictionaries. Loops are written out, since every character goes through them.
     """
 
     def __init__(self, texts: list[str] = ()):  # type: ignore[assignment]
-        self.root: dict[int, int] = {}
+        self.near: dict[int, dict[int, int]] = {0: {}}
         self.link, self.length, self.head = array("i", [-1]), array("i", [0]), array("i", [-1])
         self.char, self.to, self.after = array("I"), array("i"), array("i")
         for t in texts:
@@ -109,101 +111,120 @@ class SuffixAutomaton:
 
     def add(self, text: str) -> list[int]:
         """The states of the text's prefixes."""
-        root, link, length, head, char, to, after = self.root, self.link, self.length, self.head, self.char, self.to, self.after
+        near, link, length, head, char, to, after = self.near, self.link, self.length, self.head, self.char, self.to, self.after
         states = []
         last = 0
         for c in map(ord, text):
-            if last:
+            edges = near.get(last)
+            if edges is None:
                 e = head[last]
                 while e >= 0 and char[e] != c:
                     e = after[e]
                 known = to[e] if e >= 0 else -1
             else:
-                known = root.get(c, -1)
+                known = edges.get(c, -1)
             if known >= 0:  # this text's prefix is there already
                 last = known if length[known] == length[last] + 1 else self._split(last, c, known)
                 states.append(last)
                 continue
-            new = len(link)
-            length.append(length[last] + 1)
-            link.append(0)
-            head.append(-1)
+            new = self._state(length[last] + 1, 0)
             p, q = last, -1
-            while p > 0:
-                e = head[p]
-                while e >= 0 and char[e] != c:
-                    e = after[e]
-                if e >= 0:
-                    q = to[e]
-                    break
-                char.append(c)
-                to.append(new)
-                after.append(head[p])
-                head[p] = len(char) - 1
+            while p >= 0:
+                edges = near.get(p)
+                if edges is None:
+                    e = head[p]
+                    while e >= 0 and char[e] != c:
+                        e = after[e]
+                    if e >= 0:
+                        q = to[e]
+                        break
+                    char.append(c)
+                    to.append(new)
+                    after.append(head[p])
+                    head[p] = len(char) - 1
+                else:
+                    q = edges.get(c, -1)
+                    if q >= 0:
+                        break
+                    edges[c] = new
                 p = link[p]
-            else:
-                q = root.get(c, -1)
-            if q < 0:
-                root[c] = new
-            else:
+            if p >= 0:
                 link[new] = q if length[p] + 1 == length[q] else self._split(p, c, q)
             last = new
             states.append(last)
         return states
 
+    def _state(self, length: int, link: int) -> int:
+        state = len(self.link)
+        self.length.append(length)
+        self.link.append(link)
+        self.head.append(-1)
+        if length <= NEAR:
+            self.near[state] = {}
+        return state
+
     def _split(self, p: int, c: int, q: int) -> int:
         """A state for the shorter strings of q, which takes q's place behind p and p's suffixes."""
-        link, head, char, to, after = self.link, self.head, self.char, self.to, self.after
-        clone, first, e = len(link), -1, head[q]
-        while e >= 0:
-            char.append(char[e])
-            to.append(to[e])
-            after.append(first)
-            first, e = len(char) - 1, after[e]
-        self.length.append(self.length[p] + 1)
-        link.append(link[q])
-        head.append(first)
-        link[q] = clone
-        while p > 0:
-            e = head[p]
-            while e >= 0 and char[e] != c:
+        near, link, head, char, to, after = self.near, self.link, self.head, self.char, self.to, self.after
+        clone = self._state(self.length[p] + 1, link[q])
+        edges, own = near.get(q), near.get(clone)
+        if edges is None:
+            edges, e = {}, head[q]
+            while e >= 0:
+                edges[char[e]] = to[e]
                 e = after[e]
-            if e < 0 or to[e] != q:
-                return clone
-            to[e] = clone
+        if own is None:
+            for d, target in edges.items():
+                char.append(d)
+                to.append(target)
+                after.append(head[clone])
+                head[clone] = len(char) - 1
+        else:
+            own.update(edges)
+        link[q] = clone
+        while p >= 0:
+            edges = near.get(p)
+            if edges is None:
+                e = head[p]
+                while e >= 0 and char[e] != c:
+                    e = after[e]
+                if e < 0 or to[e] != q:
+                    break
+                to[e] = clone
+            elif edges.get(c) == q:
+                edges[c] = clone
+            else:
+                break
             p = link[p]
-        if self.root.get(c) == q:
-            self.root[c] = clone
         return clone
 
     def spans(self, text: str, least: int, rank: array | None = None, below: int = 0) -> list[tuple[int, int]]:
         """Maximal stretches (from, to) of the text, of at least that length, that are substrings; none lies inside another. With rank, only states of a rank below the given one count."""
-        root, link, length, head, char, to, after = self.root, self.link, self.length, self.head, self.char, self.to, self.after
+        near, link, length, head, char, to, after = self.near, self.link, self.length, self.head, self.char, self.to, self.after
         out: list[tuple[int, int]] = []
-        state = run = i = 0
+        state = run = 0
         for i, c in enumerate(map(ord, text)):
             whole = run
             while True:
-                if state:
+                edges = near.get(state)
+                if edges is None:
                     e = head[state]
                     while e >= 0 and char[e] != c:
                         e = after[e]
                     there = to[e] if e >= 0 else -1
                 else:
-                    there = root.get(c, -1)
+                    there = edges.get(c, -1)
                 if there >= 0 and (rank is None or rank[there] < below):
-                    if run < whole and whole >= least:
-                        out.append((i - whole, i))
                     state = there
                     run += 1
                     break
                 if not state:
-                    if whole >= least:
-                        out.append((i - whole, i))
                     run = 0
                     break
                 state = link[state]
                 run = length[state]
+            if whole >= least and run <= whole:
+                out.append((i - whole, i))
         if run >= least:
             out.append((len(text) - run, len(text)))
         return out
