@@ -5,6 +5,7 @@ items: doc_id, page, line_group, kind (text or rule), text, size, x0, y0, x1, y1
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -86,10 +87,15 @@ def clean_text(text: Column) -> Column:
 def lines(items: DataFrame) -> DataFrame:
     """(doc_id, page, line_group, text): every group as one line."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        boxes = [(k, Box(t or "", *map(float, b), size=float(s or 0))) for k, t, s, *b in zip(g["kind"], g["text"], g["size"].fillna(0), g["x0"], g["y0"], g["x1"], g["y1"], strict=True)]
-        text = rebuilt([b for k, b in boxes if k == "text"], [b for k, b in boxes if k == "rule"])
-        return pd.DataFrame([(g["doc_id"].iloc[0], g["page"].iloc[0], g["line_group"].iloc[0], text)], columns=["doc_id", "page", "line_group", "text"])
-
-    got = items.groupBy("doc_id", "page", "line_group").applyInPandas(run, "doc_id bigint, page bigint, line_group bigint, text string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = []
+            for xs in b["xs"]:
+                boxes = [(x["kind"], Box(x["text"] or "", float(x["x0"]), float(x["y0"]), float(x["x1"]), float(x["y1"]), float(x["size"] or 0))) for x in xs]
+                texts.append(rebuilt([t for k, t in boxes if k == "text"], [r for k, r in boxes if k == "rule"]))
+            yield b[["doc_id", "page", "line_group"]].assign(text=texts)
+
+    parts = F.struct("x0", "y0", "x1", "y1", "kind", "text", "size")
+    held = items.groupBy("doc_id", "page", "line_group").agg(F.array_sort(F.collect_list(parts)).alias("xs"))
+    got = held.mapInPandas(run, "doc_id bigint, page bigint, line_group bigint, text string")
     return got.withColumn("text", clean_text(F.col("text")))
